@@ -157,11 +157,12 @@ def trade_analysis(
     incomplete = F.when(F.exists(absent, lambda x: x), F.lit("INCOMPLETE_STATE"))
     # First error wins: request checks, description, summary, completeness.
     error = F.coalesce("error_code", "description_error", "summary_error", incomplete)
-    return (
-        keyed.join(results, ANALYSIS_KEY, "left")
-        .withColumn("error_code", error)
-        .drop("description_error", "summary_error")
-    )
+    joined = keyed.join(results, ANALYSIS_KEY, "left").withColumn("error_code", error)
+    # A failed request shows its error only; what could not be verified is not handed on.
+    body = ("item_description", "imports", "exports", "analytical_summary")
+    return joined.withColumns(
+        {c: F.when(F.col("error_code").isNull(), F.col(c)) for c in body}
+    ).drop("description_error", "summary_error")
 
 
 def _item_texts(taxonomy: DataFrame, sections: DataFrame) -> DataFrame:

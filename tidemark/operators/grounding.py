@@ -76,28 +76,36 @@ def scan_numbers(text: Column, facts: Column, structural: Column) -> Column:
     """array<struct<value, grounded>> of every number of ``text``, in order.
 
     A gap that touches a number gets that neighbour's character back at its edge, so that word
-    boundaries behave as in the whole text.
+    boundaries behave as in the whole text.  The inputs are bound once per text in a one-element
+    array: expressions used inside a lambda would be evaluated again for every number.
     """
-    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-    gaps = F.split(text, NUMBER, -1)
-
-    def judge(token: Column, i: Column) -> Column:
-        value = as_number(token)
-        rounded = half_even(value)
-        before = F.concat(F.when(i > 0, F.lit("0")).otherwise(F.lit("")), F.get(gaps, i))
-        following = F.get(found, i + 1)
-        after = F.concat(
-            F.get(gaps, i + 1), F.coalesce(F.substring(following, 1, 1), F.lit(""))
+    bound = F.array(
+        F.struct(
+            F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)).alias("found"),
+            F.split(text, NUMBER, -1).alias("gaps"),
+            facts.alias("facts"),
+            structural.alias("structural"),
         )
+    )
+
+    def judge(b: Column, token: Column, i: Column) -> Column:
+        rounded = half_even(as_number(token))
+        before = F.concat(F.when(i > 0, F.lit("0")).otherwise(F.lit("")), F.get(b["gaps"], i))
+        touching = F.substring(F.get(b["found"], i + 1), 1, 1)
+        after = F.concat(F.get(b["gaps"], i + 1), F.coalesce(touching, F.lit("")))
         derived = after.rlike(_DERIVED_AFTER) | before.rlike(_DERIVED_BEFORE)
         fitting = before.rlike(_STRUCTURAL_BEFORE) | after.rlike(_STRUCTURAL_AFTER)
-        grounded = ~derived & (
-            F.array_contains(facts, rounded)
-            | (F.array_contains(structural, rounded) & fitting)
+        # Set membership comes first: it is cheap and rules most numbers out before any pattern.
+        backed = F.array_contains(b["facts"], rounded) | (
+            F.array_contains(b["structural"], rounded) & fitting
         )
-        return F.struct(value.alias("value"), F.coalesce(grounded, F.lit(False)).alias("grounded"))
+        grounded = F.coalesce(backed & ~derived, F.lit(False))
+        return F.struct(as_number(token).alias("value"), grounded.alias("grounded"))
 
-    return F.transform(found, judge)
+    scans = F.transform(
+        bound, lambda b: F.transform(b["found"], lambda token, i: judge(b, token, i))
+    )
+    return F.element_at(scans, 1)
 
 
 def ground_texts(texts: DataFrame, facts: DataFrame) -> DataFrame:

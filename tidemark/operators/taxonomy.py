@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .requests import leaf_codes
 
 MAX_DEPTH = 6
@@ -35,9 +36,12 @@ def parent_paths(taxonomy: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     (code, description), nearest first.  A chain stops at a missing parent or when it would meet a
     code again; one that is still open after ``max_depth`` steps fails the query.
     """
-    inner = taxonomy.join(
-        taxonomy.select(F.col("parent").alias("code")).distinct(), "code", "left_semi"
-    ).select("code", "description", "parent")
+    # Every step of the walk joins the inner nodes, so they are written once.
+    inner = materialize(
+        taxonomy.join(
+            taxonomy.select(F.col("parent").alias("code")).distinct(), "code", "left_semi"
+        ).select("code", "description", "parent")
+    )
     up = inner.select(
         F.col("code").alias("_up"),
         F.col("description").alias("_up_description"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import l2_normalize
-from ..functions.text import tokens
+from ..functions.text import explode_tokens
 
 DIMS = 64
 BATCH = 100
@@ -30,7 +30,7 @@ def hashed_weights(texts: DataFrame, dims: int = DIMS) -> DataFrame:
     shuffled, however long the text is.
     """
     return (
-        texts.select("id", F.explode(tokens(F.col("text"))).alias("term"))
+        explode_tokens(texts, "text", "id")
         .select("id", bucket(F.col("term"), dims).alias("bucket"))
         .groupBy("id", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import explode_tokens, tokens
 
 # BM25 parameters.
 K1 = 1.5
@@ -34,10 +34,7 @@ class LexicalIndex:
 
 
 def _postings(documents: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
-    words = (
-        documents.select("doc_id", tokens(F.col("text")).alias("words"))
-        .select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    )
+    words = explode_tokens(documents, "text", "doc_id").withColumnRenamed("n_tokens", "dl")
     if vocabulary is not None:
         words = words.join(vocabulary, "term", "left_semi")
     return words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -80,7 +77,7 @@ def read_index(spark: SparkSession, path: str) -> LexicalIndex:
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, weight): weight is how often the query repeats the term."""
     return (
-        queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term"))
+        explode_tokens(queries, "query_text", "query_id")
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
@@ -88,16 +85,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a term with the query."""
-    n_docs = index.corpus.select("n_docs").scalar()
-    avgdl = index.corpus.select("avgdl").scalar()
+    corpus = index.corpus.select(F.struct("n_docs", "avgdl")).scalar()
+    n_docs, avgdl = corpus["n_docs"], corpus["avgdl"]
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighted = query_terms(queries).join(index.terms, "term").select(
         "query_id", "term", (F.col("weight") * idf).alias("wi")
     )
     tf = F.col("tf")
     part = F.col("wi") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
+    # Postings are dealt out by document before the join: each document meets its queries in one
+    # place, so the joined rows, one per query and shared term, are summed up without a shuffle.
+    by_document = index.postings.join(
+        weighted.select("term").distinct(), "term", "left_semi"
+    ).repartition("doc_id")
     return (
-        index.postings.join(weighted, "term")
+        by_document.join(weighted, "term")
         .groupBy("query_id", "doc_id")
         .agg(F.sum(part).alias("score"))
     )

@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan out to all cores.
+
+    A table stored as one row group is read by one task, which is slow when each row holds a long
+    text.  A scan that already has a task per core, as any large table does, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def item_code(by: str) -> Column:
     """Item of a trade line: the brand (few dense items) or the part as a 6-digit code (many)."""
     if by == "brand":
@@ -233,7 +243,7 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def search_queries(spark: SparkSession, d: str) -> DataFrame:

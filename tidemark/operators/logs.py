@@ -5,7 +5,7 @@ Log: key, call_id, ts, ts_us, day, thread_id, tenant_id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -99,8 +99,8 @@ def quota_admission(
     """
     call = F.struct("ts_us", "call_id")
 
-    def within(name: str):
-        return F.col(name).isNull() | (call <= F.col(name))
+    def within(name: str, at: Column = call) -> Column:
+        return F.col(name).isNull() | (at <= F.col(name))
 
     thread_cut = (
         _cutoffs(log, ["thread_id"], thread_cap, "thread_cut")
@@ -117,9 +117,14 @@ def quota_admission(
     )
     global_cap = day_cap if global_day_cap is None else global_day_cap
     day_cut = _cutoffs(survivors, ["day"], global_cap, "day_cut")
+    # A cap is the reason only if its scope really filled up, that is if its last fitting call was
+    # admitted by the later stages too; otherwise the later stage closed first and is the reason.
+    thread_cut_call, tenant_cut_call = F.col("thread_cut"), F.col("tenant_cut")
+    thread_full = within("tenant_cut", thread_cut_call) & within("day_cut", thread_cut_call)
+    tenant_full = within("day_cut", tenant_cut_call)
     decision = (
-        F.when(~within("thread_cut"), F.lit(DECISION["thread"]))
-        .when(~within("tenant_cut"), F.lit(DECISION["tenant"]))
+        F.when(~within("thread_cut") & thread_full, F.lit(DECISION["thread"]))
+        .when(~within("tenant_cut") & tenant_full, F.lit(DECISION["tenant"]))
         .when(~within("day_cut"), F.lit(DECISION["day"]))
         .otherwise(F.lit("ADMITTED"))
     )

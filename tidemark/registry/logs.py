@@ -49,9 +49,17 @@ def token_bucket(spark: SparkSession, d: str) -> DataFrame:
                   ORDER BY ts_us, call_id) AS b FROM t)""",
         f"""g AS (SELECT *, row_number() OVER (PARTITION BY day, a <= {THREAD_LIMIT} AND b <= {TENANT_LIMIT}
                   ORDER BY ts_us, call_id) AS c FROM n)""",
-        f"""SELECT call_id, CASE WHEN a > {THREAD_LIMIT} THEN 'THREAD_CAP'
-          WHEN b > {TENANT_LIMIT} THEN 'TENANT_DAY_CAP' WHEN c > {GLOBAL_LIMIT} THEN 'DAY_CAP'
-          ELSE 'ADMITTED' END AS decision FROM g""",
+        f"""counted AS (
+          SELECT *, a <= {THREAD_LIMIT} AND b <= {TENANT_LIMIT} AND c <= {GLOBAL_LIMIT} AS ok FROM g),
+        before AS (
+          SELECT *, coalesce(sum(CAST(ok AS INTEGER)) OVER (PARTITION BY thread_id
+              ORDER BY ts_us, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS in_thread,
+            coalesce(sum(CAST(ok AS INTEGER)) OVER (PARTITION BY tenant_id, day
+              ORDER BY ts_us, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS in_tenant
+          FROM counted)""",
+        f"""SELECT call_id, CASE WHEN ok THEN 'ADMITTED' WHEN in_thread >= {THREAD_LIMIT} THEN 'THREAD_CAP'
+          WHEN in_tenant >= {TENANT_LIMIT} THEN 'TENANT_DAY_CAP' ELSE 'DAY_CAP' END AS decision
+        FROM before""",
     )
 )
 def quota_admission(spark: SparkSession, d: str) -> DataFrame:

@@ -18,8 +18,7 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     """
     files = (
         spark.read.schema("value string, item_code string, flow string, year int")
-        .option("wholetext", True)
-        .text(path)
+        .text(path, wholetext=True)
         .select("item_code", "flow", "year", F.col("_metadata.file_path").alias("file"), "value")
     )
     parsed = files.withColumn(

@@ -20,17 +20,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def explode_tokens(df: DataFrame, text: str, *keep: str | Column) -> DataFrame:
+def explode_tokens(
+    df: DataFrame, text: str, *keep: str | Column, keep_empty: bool = False
+) -> DataFrame:
     """One row per token: the columns ``keep``, ``n_tokens`` of the text, and ``term``.
 
+    With ``keep_empty`` a text without tokens keeps one row with a null term.
+
     The outer explode with a filter behind it equals an inner one, but stops Spark from testing the
     token array for emptiness in front of it, which would tokenise every text several times.
     """
     words = df.select(*keep, tokens(F.col(text)).alias("_words"))
     rest = [c for c in words.columns if c != "_words"]
-    return words.select(
+    exploded = words.select(
         *rest, F.size("_words").alias("n_tokens"), F.explode_outer("_words").alias("term")
-    ).filter("term IS NOT NULL")
+    )
+    return exploded if keep_empty else exploded.filter("term IS NOT NULL")
 
 
 def as_number(token: Column) -> Column:

@@ -26,33 +26,32 @@ def bucket(term: Column, dims: int) -> Column:
 def hashed_weights(texts: DataFrame, dims: int = DIMS) -> DataFrame:
     """Long form (id, bucket, n): how many tokens of the text fall into each bucket.
 
+    A text without tokens has one row with a null bucket.
+
     The tokens of a text are counted where the text lies, so at most ``dims`` rows per text are
     shuffled, however long the text is.
     """
     return (
-        explode_tokens(texts, "text", "id")
+        explode_tokens(texts, "text", "id", keep_empty=True)
         .select("id", bucket(F.col("term"), dims).alias("bucket"))
         .groupBy("id", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("bucket").alias("n"))
     )
 
 
 def hashed_embedding(texts: DataFrame, dims: int = DIMS) -> DataFrame:
     """(id, embedding) at unit length; a text without tokens gets a zero vector."""
+    entry = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n"))
     packed = (
         hashed_weights(texts, dims)
         .groupBy("id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("n_of"))
+        .agg(F.map_from_entries(F.collect_list(entry)).alias("n_of"))
     )
     dense = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")),
         lambda i: F.coalesce(F.col("n_of")[i], F.lit(0)).cast("double"),
     )
-    return (
-        texts.select("id")
-        .join(packed, "id", "left")
-        .select("id", l2_normalize(dense).alias("embedding"))
-    )
+    return packed.select("id", l2_normalize(dense).alias("embedding"))
 
 
 def embed_with(texts: DataFrame, embedder: Embedder, dims: int, batch: int = BATCH) -> DataFrame:

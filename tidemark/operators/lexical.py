@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import explode_tokens, tokens
+from ..session import materialize
 
 # BM25 parameters.
 K1 = 1.5
@@ -61,6 +62,11 @@ def build_index(documents: DataFrame, asked: DataFrame | None = None) -> Lexical
     return LexicalIndex(postings, terms, corpus_stats(documents))
 
 
+def materialize_index(index: LexicalIndex) -> LexicalIndex:
+    """The index written once in the shared folder, for plans that use it in several places."""
+    return LexicalIndex(*(materialize(f) for f in (index.postings, index.terms, index.corpus)))
+
+
 def write_index(index: LexicalIndex, path: str) -> None:
     """Store the index; postings sorted by term so that scans skip row groups by term."""
     index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions(

@@ -143,9 +143,11 @@ def admit_requests(requests: DataFrame, taxonomy: DataFrame, as_of: str) -> Data
     shaped = validate_requests(requests, as_of).withColumn(
         "error_code", F.when(F.size("reasons") > 0, F.col("reasons")[0])
     )
-    # Rejected rows carry a null code into the join so that they meet no partner there.
+    # Rejected rows need no lookup.  They join on a key that no code equals and that differs from
+    # row to row: a null key would send all of them to one task.
+    nowhere = F.concat(F.lit("rejected "), F.xxhash64("raw").cast("string"))
     coded = shaped.withColumn(
-        "_code", F.when(F.col("error_code").isNull(), F.col("hs_code"))
+        "_code", F.when(F.col("error_code").isNull(), F.col("hs_code")).otherwise(nowhere)
     )
     member = allowlisted(coded, taxonomy, "_code")
     staged = member.withColumn(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import materialize
 from .lexical import SCORE_DIGITS, LexicalIndex, bm25_topk, query_terms
 from .similarity import vector_topk
 
@@ -54,8 +55,15 @@ def floored_queries(lexical: DataFrame, similar: DataFrame) -> DataFrame:
 
 
 def with_descriptions(candidates: DataFrame, documents: DataFrame) -> DataFrame:
-    """Add the text of each candidate, '' when it has none."""
-    described = documents.select("doc_id", F.col("text").alias("_text"))
+    """Add the text of each candidate, '' when it has none.
+
+    Candidates are few.  The documents are first cut down to them by a semi join, so that the texts
+    of the whole corpus are never shuffled.
+    """
+    candidates = materialize(candidates)
+    described = documents.join(
+        candidates.select("doc_id").distinct(), "doc_id", "left_semi"
+    ).select("doc_id", F.col("text").alias("_text"))
     return (
         candidates.join(described, "doc_id", "left")
         .withColumn("description", F.coalesce("_text", F.lit("")))
@@ -94,17 +102,17 @@ def rewrite_queries(queries: DataFrame, index: LexicalIndex, rewrites: DataFrame
     Only zero-hit queries look up ``rewrites`` (variant, term); one whose rewrite differs from its
     trimmed text is searched again with the rewrite, even if that finds nothing.
     """
-    zero = zero_hit_queries(queries, index).select("query_id", F.lit(True).alias("_zero"))
     trimmed = F.trim("query_text")
-    term = rewrites.select(F.col("variant").alias("_variant"), F.col("term").alias("_term"))
-    marked = queries.join(zero, "query_id", "left").withColumn(
-        "_variant", F.when(F.col("_zero"), trimmed)
+    changed = (
+        zero_hit_queries(queries, index)
+        .join(rewrites.select("variant", F.col("term").alias("_term")), trimmed == F.col("variant"))
+        .filter(F.col("_term") != trimmed)
+        .select("query_id", "_term")
     )
-    changed = F.col("_term").isNotNull() & (F.col("_term") != trimmed)
-    return marked.join(term, "_variant", "left").select(
+    return queries.join(changed, "query_id", "left").select(
         *queries.columns,
-        F.when(changed, F.col("_term")).otherwise(F.col("query_text")).alias("effective_text"),
-        F.coalesce(changed, F.lit(False)).alias("is_rewritten"),
+        F.coalesce("_term", "query_text").alias("effective_text"),
+        F.col("_term").isNotNull().alias("is_rewritten"),
     )
 
 

@@ -18,6 +18,9 @@ from .lexical import SCORE_DIGITS
 # Largest query block that is shipped to the tasks, in bytes of its matrix.
 BLOCK_BYTES = 64 << 20
 
+# Most scores a task holds at a time, while it works through a batch of vectors.
+SCORES_AT_ONCE = 4 << 20
+
 
 class VectorSizeError(ValueError):
     """Query and stored vectors differ in size."""
@@ -57,7 +60,15 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return flat.astype(np.float64, copy=False).reshape(-1, dims)
 
 
-def _keep_best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _merge_best(
+    best: tuple[np.ndarray, np.ndarray], sims: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` of those kept so far and a new batch, ties by key."""
+    if len(sims) > k:
+        floor = np.partition(sims, len(sims) - k)[len(sims) - k]
+        hits = np.flatnonzero(sims >= floor)
+        sims, ids = sims[hits], ids[hits]
+    sims, ids = np.concatenate([best[0], sims]), np.concatenate([best[1], ids])
     order = np.lexsort((ids, -sims))[:k]
     return sims[order], ids[order]
 
@@ -80,18 +91,14 @@ def _block_topk(vectors: DataFrame, block: pa.Table, k: int) -> DataFrame:
                 continue
             id_arrow = batch.column("vec_id").type
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            sims = np.round(_matrix(batch.column("embedding"), dims) @ queries.T, SCORE_DIGITS)
+            stored = _matrix(batch.column("embedding"), dims)
             if best is None:
                 best = [(np.empty(0), ids[:0])] * len(keys)
-            for q in range(len(keys)):
-                column, found = sims[:, q], ids
-                if len(column) > k:
-                    floor = np.partition(column, len(column) - k)[len(column) - k]
-                    hits = np.flatnonzero(column >= floor)
-                    column, found = column[hits], found[hits]
-                best[q] = _keep_best(
-                    np.concatenate([best[q][0], column]), np.concatenate([best[q][1], found]), k
-                )
+            step = max(1, SCORES_AT_ONCE // len(ids))
+            for at in range(0, len(keys), step):
+                sims = np.round(stored @ queries[at : at + step].T, SCORE_DIGITS)
+                for q in range(at, at + sims.shape[1]):
+                    best[q] = _merge_best(best[q], sims[:, q - at], ids, k)
         if best is None:
             return
         for key, (sims, ids) in zip(keys, best):

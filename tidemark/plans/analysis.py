@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_numeric_tokens, whole
 from ..operators import grounding, trade
-from ..operators.requests import admit_requests, request_fingerprint
+from ..operators.requests import admit_requests, request_fingerprint, split_rejects
 from ..operators.taxonomy import taxonomy_text
 from ..session import materialize
 
@@ -142,12 +142,10 @@ def trade_analysis(
         "item_code", "hs_code"
     )
     identity = [c for c in admitted.columns if c not in (*ANALYSIS_KEY, "reasons", "raw")]
-    # Rejected requests carry null keys into the join, so that they meet no analysis.
     keyed = admitted.select(
-        *identity,
-        *[F.when(F.col("error_code").isNull(), F.col(c)).alias(c) for c in ANALYSIS_KEY],
-        request_fingerprint().alias("fingerprint"),
+        *identity, *ANALYSIS_KEY, request_fingerprint().alias("fingerprint")
     )
+    valid, rejected = split_rejects(keyed)
     absent = F.array(
         F.col("item_description").isNull(),
         F.col("analytical_summary").isNull(),
@@ -157,12 +155,13 @@ def trade_analysis(
     incomplete = F.when(F.exists(absent, lambda x: x), F.lit("INCOMPLETE_STATE"))
     # First error wins: request checks, description, summary, completeness.
     error = F.coalesce("error_code", "description_error", "summary_error", incomplete)
-    joined = keyed.join(results, ANALYSIS_KEY, "left").withColumn("error_code", error)
+    joined = valid.join(results, ANALYSIS_KEY, "left").withColumn("error_code", error)
     # A failed request shows its error only; what could not be verified is not handed on.
     body = ("item_description", "imports", "exports", "analytical_summary")
-    return joined.withColumns(
+    answered = joined.withColumns(
         {c: F.when(F.col("error_code").isNull(), F.col(c)) for c in body}
     ).drop("description_error", "summary_error")
+    return answered.unionByName(rejected.drop(*ANALYSIS_KEY), allowMissingColumns=True)
 
 
 def _item_texts(taxonomy: DataFrame, sections: DataFrame) -> DataFrame:

@@ -231,10 +231,11 @@ def embed_pending(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH sizes AS (SELECT lang AS query_id, doc_id, CAST(row_number() OVER (
-          PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents),
+          PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents
+          QUALIFY rank <= 30),
     labelled AS (SELECT lang AS query_id, doc_id, CAST(row_number() OVER (
           PARTITION BY lang ORDER BY quality DESC, toxic, doc_id) AS INTEGER) AS rank
-        FROM documents JOIN labels USING (doc_id)),
+        FROM documents JOIN labels USING (doc_id) QUALIFY rank <= 30),
     fused AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(source) AS source,
           arg_min(rank, source) AS rank
         FROM (SELECT *, 0 AS source FROM sizes UNION ALL SELECT *, 1 FROM labelled)
@@ -245,20 +246,16 @@ def embed_pending(spark: SparkSession, d: str) -> DataFrame:
     WHERE position <= 8"""
 )
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    """Per language: the ranking by length fused with the ranking by label.
-
-    Whole rankings are numbered here, so this one is sorted per language; the search itself only
-    ever fuses top lists.
-    """
+    """Per language: the top list by length fused with the top list by label."""
     docs = S.table(spark, d, "documents").select(
         F.col("lang").alias("query_id"), "doc_id", "n_chars"
     )
     by_size = Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "doc_id")
     by_label = Window.partitionBy("query_id").orderBy(F.desc("quality"), "toxic", "doc_id")
-    sizes = docs.withColumn("rank", F.row_number().over(by_size))
+    sizes = docs.withColumn("rank", F.row_number().over(by_size)).filter("rank <= 30")
     labelled = docs.join(S.table(spark, d, "labels"), "doc_id").withColumn(
         "rank", F.row_number().over(by_label)
-    )
+    ).filter("rank <= 30")
     return H.rrf_fuse([sizes, labelled], 8).withColumn(
         "fusion_score", F.round("fusion_score", 9)
     )
@@ -395,14 +392,14 @@ def render_candidates(spark: SparkSession, d: str) -> DataFrame:
 )
 def product_search(spark: SparkSession, d: str) -> DataFrame:
     queries = all_queries(spark, d)
-    index = B.build_index(
+    index = B.materialize_index(B.build_index(
         S.corpus(spark, d),
         asked=queries.unionByName(
             rewrites(spark, d).select(
                 F.col("variant").alias("query_id"), F.col("term").alias("query_text")
             )
         ),
-    )
+    ))
     return search_plan(
         queries,
         S.corpus(spark, d),

@@ -135,7 +135,7 @@ def number_free_docs(spark: SparkSession, d: str) -> DataFrame:
 def number_grounding(spark: SparkSession, d: str) -> DataFrame:
     return scanned_documents(spark, d).select(
         "doc_id", F.posexplode("scan").alias("position", "n")
-    ).select("doc_id", (F.col("position") + 1).alias("position"), "n.value", "n.grounded")
+    ).select("doc_id", (F.col("position").cast("bigint") + 1).alias("position"), "n.value", "n.grounded")
 
 
 @query(with_ctes(*FACT_CTES, STATEMENTS, SCAN, "SELECT id, position, value, grounded FROM scanned"))
@@ -143,7 +143,7 @@ def statement_grounding(spark: SparkSession, d: str) -> DataFrame:
     tables = materialize(fact_tables(spark, d))
     scanned = G.ground_texts(statements(tables), G.table_facts(tables))
     return scanned.select("id", F.posexplode("scan").alias("position", "n")).select(
-        "id", (F.col("position") + 1).alias("position"), "n.value", "n.grounded"
+        "id", (F.col("position").cast("bigint") + 1).alias("position"), "n.value", "n.grounded"
     )
 
 
@@ -176,7 +176,7 @@ def grounded_docs(spark: SparkSession, d: str) -> DataFrame:
 def ungrounded_numbers(spark: SparkSession, d: str) -> DataFrame:
     gated = G.gate_texts(scanned_documents(spark, d))
     return gated.select("doc_id", F.posexplode("offending").alias("position", "value")).withColumn(
-        "position", F.col("position") + 1
+        "position", F.col("position").cast("bigint") + 1
     )
 
 

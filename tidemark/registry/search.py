@@ -151,7 +151,8 @@ def ranked_text(column: str) -> Column:
        min(len(embedding)) AS min_dims, max(len(embedding)) AS max_dims FROM embeddings"""
 )
 def vector_table_profile(spark: SparkSession, d: str) -> DataFrame:
-    return V.profile(S.vectors(spark, d))
+    found = V.profile(S.vectors(spark, d))
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("min_dims", "max_dims")})
 
 
 @query(
@@ -169,7 +170,7 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
         S.vectors(spark, d)
         .withColumn("scaled", scaled)
         .select("vec_id", F.posexplode(unit(F.col("scaled"))).alias("pos", "x"))
-        .withColumn("x", F.round("x", 6))
+        .select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
     )
 
 
@@ -275,7 +276,7 @@ def hybrid_candidates(spark: SparkSession, d: str) -> DataFrame:
         "doc_id",
         "position",
         F.round("fusion_score", 9).alias("fusion_score"),
-        F.length("description").alias("description_length"),
+        F.length("description").cast("bigint").alias("description_length"),
     )
 
 

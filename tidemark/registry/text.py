@@ -48,8 +48,8 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
     words = S.corpus(spark, d).select("doc_id", X.tokens(F.col("text")).alias("words"))
     return words.select(
         "doc_id",
-        F.size("words").alias("n_tokens"),
-        F.size(F.array_distinct("words")).alias("n_distinct"),
+        F.size("words").cast("bigint").alias("n_tokens"),
+        F.size(F.array_distinct("words")).cast("bigint").alias("n_distinct"),
         F.md5(F.array_join("words", " ")).alias("digest"),
     )
 
@@ -65,7 +65,7 @@ def extract_numbers(spark: SparkSession, d: str) -> DataFrame:
     found = S.corpus(spark, d).select(
         "doc_id", F.posexplode(X.numbers(F.col("text"))).alias("position", "value")
     )
-    return found.withColumn("position", F.col("position") + 1)
+    return found.withColumn("position", F.col("position").cast("bigint") + 1)
 
 
 @query(

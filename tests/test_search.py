@@ -130,6 +130,14 @@ def test_one_foreign_or_invalid_code_voids_the_query(spark):
         assert (o.error_code, o.outcome, o.ranked) == ("RERANK_INVALID_CANDIDATE", None, None)
 
 
+def test_code_pattern(spark):
+    c = spark.createDataFrame([(1, "010121"), (1, "x")], "query_id long, doc_id string")
+    s = spark.createDataFrame([(1, "x", 1, 0.9)], "query_id long, doc_id string, position int, relevance double")
+    rule = F.col("doc_id").rlike(r"^\d{6}$")
+    assert H.search_outcome(queries(spark, [(1, "q")]), c, s).first().outcome == "auto_selected"
+    assert H.search_outcome(queries(spark, [(1, "q")]), c, s, rule).first().error_code == "RERANK_INVALID_CANDIDATE"
+
+
 def test_floor(spark):
     lexical = ranking(spark, [(1, 10, 1)])
     similar = spark.createDataFrame([(1, 10, 0.1), (2, 10, 0.34), (3, 10, 0.35)], "query_id long, doc_id long, similarity double")

@@ -81,10 +81,15 @@ def hybrid_candidates(
 ) -> DataFrame:
     """(query_id, doc_id, fusion_score, position): lexical and vector top lists, fused.
 
-    ``query_vectors``: query_id, embedding.  ``vectors``: vec_id (= doc_id), embedding.
+    ``query_vectors``: query_id, embedding.  ``vectors``: vec_id (= doc_id), embedding.  Both top
+    lists are short and used twice, for the floor and for the fusion, so they are written once.
     """
-    lexical = bm25_topk(index, queries, per_source).select("query_id", "doc_id", "rank")
-    similar = vector_topk(query_vectors, vectors, per_source).withColumnRenamed("vec_id", "doc_id")
+    lexical = materialize(
+        bm25_topk(index, queries, per_source).select("query_id", "doc_id", "rank")
+    )
+    similar = materialize(
+        vector_topk(query_vectors, vectors, per_source).withColumnRenamed("vec_id", "doc_id")
+    )
     floored = floored_queries(lexical, similar)
     kept = similar.join(floored, "query_id", "left_anti")
     return rrf_fuse([lexical, kept], k)
@@ -162,16 +167,23 @@ def grounded_scores(scores: DataFrame, candidates: DataFrame) -> DataFrame:
     return scores.join(voided, "query_id", "left_anti")
 
 
-def search_outcome(queries: DataFrame, candidates: DataFrame, scores: DataFrame) -> DataFrame:
+def search_outcome(
+    queries: DataFrame,
+    candidates: DataFrame,
+    scores: DataFrame,
+    code_rule: Column | None = None,
+) -> DataFrame:
     """One row per query: outcome, selected code, and the ranked candidates.
 
     Outcomes: auto_selected, disambiguate, no_candidates_found; a query whose scores are invalid or
-    name a foreign code gets error_code RERANK_INVALID_CANDIDATE and no outcome.
+    name a foreign code gets error_code RERANK_INVALID_CANDIDATE and no outcome.  ``code_rule`` is a
+    further condition every scored code must meet, such as a pattern.
     """
+    scores = materialize(scores)
     bad = (
         ungrounded_codes(scores, candidates)
         .select("query_id")
-        .unionByName(invalid_scores(scores))
+        .unionByName(invalid_scores(scores, code_rule))
         .distinct()
         .withColumn("_bad", F.lit(True))
     )

@@ -60,17 +60,22 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return flat.astype(np.float64, copy=False).reshape(-1, dims)
 
 
-def _merge_best(
-    best: tuple[np.ndarray, np.ndarray], sims: np.ndarray, ids: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """The best ``k`` of those kept so far and a new batch, ties by key."""
+Best = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _merge_best(best: Best, sims: np.ndarray, ids: np.ndarray, k: int) -> Best:
+    """The best ``k`` (rounded, ids, similarities) of those kept so far and a new batch.
+
+    Order is by rounded similarity, ties by key.
+    """
+    rounded = np.round(sims, SCORE_DIGITS)
     if len(sims) > k:
-        floor = np.partition(sims, len(sims) - k)[len(sims) - k]
-        hits = np.flatnonzero(sims >= floor)
-        sims, ids = sims[hits], ids[hits]
-    sims, ids = np.concatenate([best[0], sims]), np.concatenate([best[1], ids])
-    order = np.lexsort((ids, -sims))[:k]
-    return sims[order], ids[order]
+        floor = np.partition(rounded, len(sims) - k)[len(sims) - k]
+        hits = np.flatnonzero(rounded >= floor)
+        rounded, ids, sims = rounded[hits], ids[hits], sims[hits]
+    merged = [np.concatenate(pair) for pair in zip(best, (rounded, ids, sims))]
+    order = np.lexsort((merged[1], -merged[0]))[:k]
+    return merged[0][order], merged[1][order], merged[2][order]
 
 
 def _block_topk(vectors: DataFrame, block: pa.Table, k: int) -> DataFrame:
@@ -93,22 +98,23 @@ def _block_topk(vectors: DataFrame, block: pa.Table, k: int) -> DataFrame:
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
             stored = _matrix(batch.column("embedding"), dims)
             if best is None:
-                best = [(np.empty(0), ids[:0])] * len(keys)
+                best = [(np.empty(0), ids[:0], np.empty(0))] * len(keys)
             step = max(1, SCORES_AT_ONCE // len(ids))
             for at in range(0, len(keys), step):
-                sims = np.round(stored @ queries[at : at + step].T, SCORE_DIGITS)
+                sims = stored @ queries[at : at + step].T
                 for q in range(at, at + sims.shape[1]):
                     best[q] = _merge_best(best[q], sims[:, q - at], ids, k)
         if best is None:
             return
-        for key, (sims, ids) in zip(keys, best):
+        for key, (rounded, ids, sims) in zip(keys, best):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([key] * len(ids), key_type),
                     pa.array(ids, id_arrow),
                     pa.array(sims, pa.float64()),
+                    pa.array(rounded, pa.float64()),
                 ],
-                ["query_id", "vec_id", "similarity"],
+                ["query_id", "vec_id", "similarity", "rounded"],
             )
 
     query_type = {
@@ -118,7 +124,7 @@ def _block_topk(vectors: DataFrame, block: pa.Table, k: int) -> DataFrame:
         "large_string": "string",
     }[str(key_type)]
     return vectors.select("vec_id", "embedding").mapInArrow(
-        scan, f"query_id {query_type}, vec_id {id_type}, similarity double"
+        scan, f"query_id {query_type}, vec_id {id_type}, similarity double, rounded double"
     )
 
 
@@ -156,5 +162,9 @@ def vector_topk(
                 continue
             part = _block_topk(vectors, block, k)
             scored = part if scored is None else scored.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("rounded"), "vec_id")
+    return (
+        scored.withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= k)
+        .drop("rounded")
+    )

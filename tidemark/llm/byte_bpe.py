@@ -19,6 +19,7 @@ import base64
 import functools
 import hashlib
 import itertools
+import json
 import struct
 from collections.abc import Iterator
 
@@ -60,29 +61,55 @@ def split_by_rank(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
 
 
 class ByteBPE:
-    """Encoder and decoder for one rank file."""
+    """Encoder and decoder for one byte-level vocabulary.
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN) -> None:
-        self.ranks = read_ranks(path)
-        chars = byte_characters()
-        self.to_char = {chr(b): c for b, c in chars.items()}
-        self.table = str.maketrans(self.to_char)
-
-        def written(token: bytes) -> str:
-            return "".join(chars[b] for b in token)
+    ``special`` maps strings that are never split or merged to their ids.
+    """
 
-        by_rank = sorted(self.ranks, key=self.ranks.get)
-        merges = [
-            tuple(map(written, split_by_rank(t, self.ranks))) for t in by_rank if len(t) > 1
-        ]
-        vocab = {written(t): r for t, r in self.ranks.items()}
-        self.tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
+    def __init__(
+        self, tokenizer: Tokenizer, vocab: dict[str, int], pattern: str, special: dict[str, int]
+    ) -> None:
+        chars = byte_characters()
+        byte_of = {c: b for b, c in chars.items()}
+        self.tokenizer = tokenizer
+        self.table = str.maketrans({chr(b): c for b, c in chars.items()})
+        self.bytes_of = {
+            i: bytes(byte_of[c] for c in token) for token, i in vocab.items() if token not in special
+        } | {i: token.encode() for token, i in special.items()}
         self.splitter = pre_tokenizers.Split(Regex(pattern), "isolated")
         self.pattern = regex.compile(pattern)
-        self.bytes_of = dict(zip(self.ranks.values(), self.ranks, strict=True))
+        self.special = special
+        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    @classmethod
+    def from_ranks(cls, path: str, pattern: str = public_tokenizers.PATTERN) -> ByteBPE:
+        """From ranks alone: a token's last merge is the one that lower ranks leave to it."""
+        ranks = read_ranks(path)
+        chars = byte_characters()
+
+        def written(token: bytes) -> str:
+            return "".join(chars[b] for b in token)
+
+        by_rank = sorted(ranks, key=ranks.get)
+        merges = [tuple(map(written, split_by_rank(t, ranks))) for t in by_rank if len(t) > 1]
+        vocab = {written(t): r for t, r in ranks.items()}
+        model = models.BPE(vocab=vocab, merges=merges, ignore_merges=True)
+        return cls(Tokenizer(model), vocab, pattern, {})
+
+    @classmethod
+    def from_json(cls, path: str, pattern: str = public_tokenizers.PATTERN) -> ByteBPE:
+        """From a tokenizers file of a byte-level vocabulary without normaliser or prefix space."""
+        with open(path) as lines:
+            read = json.load(lines)
+        steps = read["pre_tokenizer"] or {}
+        if read["normalizer"] or steps.get("type") != "ByteLevel" or steps.get("add_prefix_space"):
+            raise ValueError(f"not a plain byte-level tokenizer: {path}")
+        loaded = Tokenizer.from_file(path)
+        special = {t["content"]: t["id"] for t in read["added_tokens"]}
+        return cls(Tokenizer(loaded.model), loaded.get_vocab(), pattern, special)
+
     def pre_tokens(self, text: str) -> list[str]:
         if max(text, default="") < SETTLED:
             return self.pattern.findall(text)
@@ -123,6 +150,9 @@ class ByteBPE:
 
     def encode_all(self, batch: list[str]) -> Iterator[bytes]:
         """The ids of each text, four bytes each."""
+        if any(mark in text for mark in self.special for text in batch):
+            yield from map(self.encode_around, batch)
+            return
         encoded = [text.encode() for text in batch]
         for first, last in blocks(encoded):
             pieces = distinct_pieces(encoded[first:last])
@@ -130,6 +160,13 @@ class ByteBPE:
             for start, end in itertools.pairwise(bounds.tolist()):
                 yield ids[start:end].tobytes()
 
+    def encode_around(self, text: str) -> bytes:
+        """Encode what lies between special strings, and those as their ids."""
+        parts = self.special_pattern.split(text)
+        parts[::2] = self.encode_all(parts[::2])
+        parts[1::2] = [struct.pack("<I", self.special[mark]) for mark in parts[1::2]]
+        return b"".join(parts)
+
     def encode(self, text: str) -> bytes:
         return b"".join(self.encode_all([text]))
 
@@ -154,7 +191,7 @@ class ByteBPE:
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> ByteBPE:
-    return ByteBPE(path)
+    return ByteBPE.from_json(path) if path.endswith(".json") else ByteBPE.from_ranks(path)
 
 
 def encoder_path(name: str = RANKS) -> str:

@@ -10,6 +10,7 @@ from . import (
     byte_bpe,
     fingerprints,
     language,
+    line_templates,
     near_duplicates,
     packing,
     secret_scan,
@@ -86,3 +87,11 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return near_duplicates.near_duplicates(docs, size=3, percent=85)
+
+
+@query
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_report(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op2_line_templates"] = line_templates.SQL

@@ -13,6 +13,7 @@ from . import (
     line_templates,
     near_duplicates,
     packing,
+    repeats,
     secret_scan,
     token_counts,
     topk,
@@ -95,3 +96,8 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op2_line_templates"] = line_templates.SQL
+
+
+@query
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(read(spark, sf_dir, "documents"))

@@ -126,7 +126,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = sorted(keyed.groupBy("run").agg(F.max("key")).collect())  # one row for each run
     before = [(firsts[i][1], firsts[i - 1][0]) for i in range(len(firsts))]
     heads = spark.createDataFrame(before, "key long, run int")
-    guests = keyed.drop("run").join(heads, "key").withColumn("guest", F.lit(True))
+    # Broadcast: one row for each run, so 4,000 at most.
+    guests = keyed.drop("run").join(F.broadcast(heads), "key").withColumn("guest", F.lit(True))
     columns = ["run", "guest", "doc_id", "text"]
     return (
         keyed.select(*columns)

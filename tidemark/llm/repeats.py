@@ -17,7 +17,7 @@ alone, so equal strings have equal anchors at equal places.  Only suffixes at an
 4. Marked ranges are brought to their documents and cut out.
 
 Whole copies of a text are found by digest first and take no part.  Only anchors, strings around repeated
-anchors and ranges move, and each text once for step 2 and once for step 4.
+anchors and ranges move, and each text once, for steps 2 and 4 together.
 
 Null and empty texts have no bytes.  A null id counts as smaller than any other.  Rows with one id do not
 repeat each other.  Other columns are ignored.
@@ -30,22 +30,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import arrow_schema, per_text, whole_text
+from .common import arrow_schema, per_text, texts
 from .fingerprints import sliding_min
 from .pieces import mix, running_hash, span_hash
 
 SPAN = 50
-WORD = 16
+WORD = 24
 #: Bytes of text whose anchors are found at once.
 CHUNK = 1 << 22
 #: An anchor in so many documents is hot.
 HOT = 2000
-#: Strings that reach at least so far left of a hot anchor are dealt by that many bytes before it.
-LEFT, RIGHT = 8, 24
+#: Strings that reach at least so far left of a hot anchor are dealt by that many bytes before it; the
+#: others reach at least RIGHT bytes beyond it.
+LEFT = 8
+RIGHT = SPAN - WORD - LEFT + 1
+#: Buckets of anchors and of strings for each shuffle partition.
+ANCHOR_BUCKETS, STRING_BUCKETS = 1, 6
 SAMPLE_DOCS = 4000
 _PLACE = np.uint64((1 << 24) - 1)
 _HOT_BIT = np.uint64(1 << 62)
@@ -111,7 +115,7 @@ def grouped(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]
 
 
 def repeated_anchors(rows: DataFrame, buckets: int) -> DataFrame:
-    """row, codes: of each row the codes of its anchors that another row has too."""
+    """same, codes: of each text (by its hash) the codes of its anchors that another text has too."""
     sent = "bucket int, rows array<long>, counts array<int>, low binary"
 
     def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +139,7 @@ def repeated_anchors(rows: DataFrame, buckets: int) -> DataFrame:
             yield batch_of(schema, out)
 
     def judge(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("row long, codes binary")
+        schema = arrow_schema("same long, codes binary")
         for bucket, (_, owners, counts, lows) in grouped(stream):
             low = np.frombuffer(b"".join(lows), "<u4")
             owner = np.repeat(np.concatenate(owners), np.concatenate(counts))
@@ -156,11 +160,11 @@ def repeated_anchors(rows: DataFrame, buckets: int) -> DataFrame:
                 yield batch_of(schema, out[i : i + 5000])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("row", "text").mapInArrow(deal, sent)
+    dealt = rows.select(F.xxhash64("text"), "text").mapInArrow(deal, sent)
     return (
         dealt.repartition(parts, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(judge, "row long, codes binary")
+        .mapInArrow(judge, "same long, codes binary")
     )
 
 
@@ -173,6 +177,16 @@ def leading(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def leading_everywhere(raw: np.ndarray) -> np.ndarray:
+    """``leading`` of every place."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    out = np.zeros(len(raw), np.uint64)
+    for i in range(8):
+        out <<= np.uint64(8)
+        out |= padded[i : i + len(raw)]
+    return out
+
+
 def splitters(rows: DataFrame, buckets: int) -> np.ndarray:
     """Leading bytes that cut a sample's anchors into equal buckets; they decide balance only."""
     share = F.lit(SAMPLE_DOCS / max(1, rows.count()))
@@ -191,11 +205,12 @@ def splitters(rows: DataFrame, buckets: int) -> np.ndarray:
 
 
 def strings_of(
-    raw: bytes, wanted: np.ndarray, buckets: int, cuts: np.ndarray
+    raw: bytes, wanted: np.ndarray, parts: int, cuts: np.ndarray
 ) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, first start, bytes) for runs of strings at wanted anchors."""
     at, hashes, first, last = anchors(raw)
-    code = codes(hashes, buckets)
+    buckets = STRING_BUCKETS * parts
+    code = codes(hashes, ANCHOR_BUCKETS * parts)
     hot = np.isin(code | _HOT_BIT, wanted)
     keep = hot | np.isin(code, wanted)
     at, first, last, hot = at[keep], first[keep], last[keep], hot[keep]
@@ -240,11 +255,10 @@ def first_of_equal(words: Iterator[np.ndarray], doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def marked_ranges(rows: DataFrame, repeated: DataFrame, buckets: int, cuts: np.ndarray) -> DataFrame:
+def marked_ranges(rows: DataFrame, wanted: DataFrame, parts: int, cuts: np.ndarray) -> DataFrame:
     """row, spans: byte ranges (start, end) to remove from each row that has any, as pairs in one array."""
     sent = "bucket int, rows array<long>, docs array<long>, starts array<int>, sizes array<int>, bytes binary"
-    wanted = repeated.groupBy("row").agg(F.collect_list("codes").alias("codes"))
-    joined = rows.join(wanted, "row").select("row", "doc", "text", "codes")
+    joined = rows.join(wanted, "row").select("row", doc_key().alias("doc"), "text", "codes")
 
     def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(sent)
@@ -252,7 +266,7 @@ def marked_ranges(rows: DataFrame, repeated: DataFrame, buckets: int, cuts: np.n
             by_bucket: dict[int, list[tuple]] = {}
             for row, doc, text, codes_of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 asked = np.frombuffer(b"".join(codes_of), "<u8")
-                for bucket, start, string in strings_of(text.encode(), asked, buckets, cuts):
+                for bucket, start, string in strings_of(text.encode(), asked, parts, cuts):
                     by_bucket.setdefault(bucket, []).append((row, doc, start, string))
             out = []
             for bucket, found in by_bucket.items():
@@ -270,7 +284,7 @@ def marked_ranges(rows: DataFrame, repeated: DataFrame, buckets: int, cuts: np.n
             begin = np.cumsum(size) - size
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             place = np.repeat(begin, n) + inner
-            lead = leading(raw, np.arange(len(raw)))
+            lead = leading_everywhere(raw)
             tail = np.uint64(8 * (8 - SPAN % 8) % 64)
             words = (
                 lead[place + i] >> (tail if i + 8 > SPAN else np.uint64(0)) for i in range(0, SPAN, 8)
@@ -287,7 +301,6 @@ def marked_ranges(rows: DataFrame, repeated: DataFrame, buckets: int, cuts: np.n
             for i in range(0, len(out), 5000):
                 yield batch_of(schema, out[i : i + 5000])
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (
         joined.mapInArrow(deal, sent)
         .repartition(parts, "bucket")
@@ -308,30 +321,44 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def doc_key() -> Column:
+    return F.coalesce("doc_id", F.lit(-(1 << 63)))
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, text, spans of every row: the byte ranges to remove, as pairs in one array (null: none)."""
-    text = whole_text(F.col("text"))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(
-        F.xxhash64(doc, text).alias("row"), doc.alias("doc"), F.col("doc_id").cast("long"), text.alias("text")
-    )
+    rows = texts(docs).withColumn("row", F.xxhash64(doc_key(), "text")).select("row", "doc_id", "text")
     long_rows = rows.where(F.octet_length("text") >= SPAN)
     keys = materialize(
-        long_rows.select("row", "doc", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("n"))
+        long_rows.select(
+            "row",
+            doc_key().alias("doc"),
+            F.xxhash64("text").alias("same"),
+            F.unhex(F.md5("text")).alias("digest"),
+            F.octet_length("text").cast("int").alias("n"),
+        )
     )
     firsts = keys.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
-    copies = materialize(
+    copies = (
         keys.join(firsts.where("first_doc < last_doc"), "digest")
         .where("doc > first_doc")
         .groupBy("row")
-        .agg(F.first("n").cast("int").alias("n"))
+        .agg(F.array(F.lit(0), F.first("n")).alias("spans"))
+    )
+    owners = keys.groupBy("same").agg(F.min_by("row", F.struct("doc", "row")).alias("row"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = splitters(long_rows, STRING_BUCKETS * parts)
+    wanted = (
+        repeated_anchors(long_rows, ANCHOR_BUCKETS * parts)
+        .groupBy("same")
+        .agg(F.collect_list("codes").alias("codes"))
+        .join(owners, "same")
+        .select("row", "codes")
     )
-    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = splitters(long_rows, buckets)
-    repeated = repeated_anchors(long_rows, buckets).join(copies.select("row"), "row", "left_anti")
-    found = marked_ranges(long_rows, repeated, buckets, cuts)
-    whole = copies.select("row", F.array(F.lit(0), F.col("n")).alias("spans"))
-    return rows.join(found.union(whole), "row", "left").select("doc_id", "text", "spans")
+    # Dealt once: the same exchange serves both joins.
+    dealt = rows.repartition(parts, "row")
+    found = marked_ranges(dealt, wanted, parts, cuts).union(copies)
+    return dealt.join(found, "row", "left").select("doc_id", "text", "spans")
 
 
 def removed(docs: DataFrame) -> DataFrame:

@@ -68,3 +68,17 @@ def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a flat DDL string such as ``doc_id long, tokens array<int>``."""
     pairs = (field.split() for field in ddl.split(","))
     return pa.schema([pa.field(name, _TYPES[kind]) for name, kind in pairs])
+
+
+def grouped(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """Rows, as lists of columns, by the first column of a stream that is sorted by it."""
+    key, rows = None, []
+    for batch in stream:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and row[0] != key:
+                yield key, list(zip(*rows, strict=True))
+                rows = []
+            key = row[0]
+            rows.append(row)
+    if rows:
+        yield key, list(zip(*rows, strict=True))

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One round of contraction: every node hands its larger, then all its neighbours to the least."""
+def stars(edges: DataFrame) -> DataFrame:
+    """One round of contraction: every node hands its larger, then all its neighbours to the least.
+
+    Nodes stay connected as they were, and links end nearer to the least node.
+    """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     large = (
         both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    ).where("u <> v").distinct()
+    ).where("u <> v")
     low = large.groupBy("u").agg(F.min("v").alias("m"))
     linked = large.join(low, "u")
     small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
@@ -23,6 +26,16 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.where("u <> v").distinct()
 
 
+def ordered(edges: DataFrame) -> DataFrame:
+    """Links from the larger to the smaller node, without loops."""
+    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """node, component: the least node that each hangs on so far, which is surely connected with it."""
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node it is linked with) of every node that has a link to another.
 
@@ -30,8 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     it knows of, until each hangs on the least of its component.  Rounds grow with the logarithm of the
     longest chain; each is written to the shared folder, and only a count and a checksum reach the driver.
     """
-    ordered = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    current = materialize(ordered.where("u <> v").distinct())
+    current = materialize(stars(ordered(edges)))
     mark = None
     while True:
         seen = current.agg(
@@ -39,4 +51,4 @@ def components(edges: DataFrame) -> DataFrame:
         ).first()
         if seen[0] == 0 or seen == mark:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark, current = seen, materialize(_stars(current))
+        mark, current = seen, materialize(stars(current))

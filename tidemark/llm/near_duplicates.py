@@ -6,11 +6,10 @@ soon as all its slots lie below the next step.  Steps run over all elements of a
 once.  Slots are banded; documents that share a band are candidates.  Links are confirmed on full sets.
 
 Equal sets are one node from the start.  In every band's bucket the members are first compared with one
-pivot.  Where a bucket still spans several components, two exact bounds rule out what cannot be linked: a
-set must share enough shingles with the other open sets at all, and a pair's overlap is at most the lesser
-of these counts.  Members outside their bucket's largest component then become pivots, more in each round,
-until each of them has met every member of another component.  So all candidates are settled, while a
-bucket of near copies costs about one comparison a member and pairs are never emitted within a component.
+pivot.  Where a bucket still spans several components, all members outside its largest one are compared
+with all members, in cells of bounded size that return no more links than join components.  So every
+candidate pair is settled, pairs are never emitted, and where near copies hang on one pivot a bucket costs
+about one comparison a member.
 
 ``kept`` marks the smallest id of each component.  Documents without words have empty sets and are linked
 with nothing, like null texts.  A null id is linked with nothing, has no component and is kept.  Rows with
@@ -26,17 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import materialize
-from .common import per_text, texts
-from .components import components
-from .pieces import blocks, mix, running_hash, span_hash
+from .common import grouped, per_text, texts
+from .components import components, labels, ordered, stars
+from .pieces import blocks, first_of_each, mix, running_hash, span_hash
 
 BANDS = 36
 #: A pair at the threshold may share no band with at most this probability.
 MISS = 1e-6
-PIVOTS = 8
+#: Most sets of either side of a cell, on average, and shingles that are compared at once.
+CELL = 512
+WORDS_AT_ONCE = 2048
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WHITE = np.zeros(256, bool)
@@ -168,26 +168,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(batches, "u long, v long")
 
 
-def shared_counts(sets: DataFrame) -> DataFrame:
-    """node, shared: how many of its shingles at least one other of these sets has."""
-
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            rows = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
-            nodes = np.repeat(batch.column(0).to_numpy(), [len(r) for r in rows])
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            for i in range(0, len(flat), 100_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes[i : i + 100_000]), pa.array(flat[i : i + 100_000])],
-                    names=["node", "shingle"],
-                )
-
-    each = sets.select("node", "shingles").mapInArrow(batches, "node long, shingle long")
-    # Most shingles of open sets are either shared by a whole group or by nobody.
-    shared = each.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    return each.join(shared, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
-
-
 def alike(percent: int) -> str:
     """SQL for: sizes n and m allow the similarity."""
     return f"100 * least(n, m) >= {percent} * greatest(n, m)"
@@ -221,57 +201,117 @@ def links(
     sets = materialize(full_sets(docs.join(wanted, "doc_id", "left_semi"), size))
 
     pairs = members.where("member <> v").where(alike(percent)).select(F.col("member").alias("u"), "v")
-    edges = materialize(confirmed(pairs.distinct(), sets, percent).union(same))
-    found = components(edges)
-
-    open_members = materialize(open_buckets(members, found))
-    if open_members.isEmpty():
-        return found
-    open_nodes = open_members.select(F.col("member").alias("node")).distinct()
-    shared = shared_counts(sets.join(open_nodes, "node", "left_semi"))
-    able = open_members.select("band", "member", "n").join(
-        shared.where(F.col("shared") > 0), F.col("node") == F.col("member")
-    ).where(f"100 * shared >= {percent} * n").select("band", "member", "n", "shared")
-    able = materialize(able)
-    used, pivots_each = None, PIVOTS
-    while True:
-        here = (
-            able.join(found, F.col("node") == F.col("member"), "left")
-            .select("band", "member", "n", "shared", F.coalesce("component", "member").alias("component"))
-        )
-        sizes = here.groupBy("band", "component").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("band").agg(
-            F.max(F.struct("size", "component")).alias("largest"), F.count("*").alias("spans")
-        ).where("spans > 1").select("band", F.col("largest.component").alias("main"))
-        left = here.join(main, "band")
-        outside = left.where("component <> main")
-        if used is not None:
-            outside = outside.join(used, ["band", "member"], "left_anti")
-        order = Window.partitionBy("band").orderBy("member")
-        chosen = materialize(
-            outside.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots_each)
-        )
-        if chosen.isEmpty():
-            return found
-        pivots = chosen.select(
+    # For now links are only contracted a little: that some components still count as two costs
+    # comparisons, no links.
+    edges = materialize(stars(ordered(confirmed(pairs.distinct(), sets, percent).union(same))))
+    edges = materialize(stars(edges))
+    found = labels(edges)
+
+    cells = open_cells(materialize(open_buckets(members, found)), sets)
+    return components(edges.union(ordered(links_of_cells(cells, percent))))
+
+
+def open_cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """cell, outside, component, shingles: what is still to be compared, in blocks of bounded size.
+
+    In each open bucket all members outside its largest component meet all members.  Both are dealt into
+    blocks by a hash; a cell is one block of either.
+    """
+    sizes = rows.groupBy("band", "component").agg(F.count("*").alias("size"))
+    shape = (
+        sizes.groupBy("band")
+        .agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"))
+        .select(
             "band",
-            F.col("member").alias("v"),
-            F.col("n").alias("m"),
-            F.col("shared").alias("also"),
-            F.col("component").alias("other"),
+            F.col("main.component").alias("main"),
+            F.ceil((F.col("all") - F.col("main.size")) / CELL).alias("outer"),
+            F.ceil(F.col("all") / CELL).alias("inner"),
         )
-        pairs = (
-            left.join(pivots, "band")
-            .where("component <> other")
-            .where(alike(percent))
-            .where(f"{100 + percent} * least(shared, also) >= {percent} * (n + m)")
-            .select(F.greatest("member", "v").alias("u"), F.least("member", "v").alias("v"))
+    )
+    placed = rows.join(shape, "band")
+    own = F.xxhash64("member")
+
+    def dealt(some: DataFrame, outside: bool, blocks: str, others: str) -> DataFrame:
+        block, other = F.pmod(own, F.col(blocks)), F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        pair = some.select("band", "member", "component", block.alias("block"), other.alias("other"))
+        first, second = ("block", "other") if outside else ("other", "block")
+        return pair.select(
+            F.xxhash64("band", F.col(first), F.col(second)).alias("cell"),
+            F.lit(outside).alias("outside"),
+            "member",
+            "component",
         )
-        edges = edges.union(materialize(confirmed(pairs.distinct(), sets, percent)))
-        found = components(edges)
-        tried = chosen.select("band", "member")
-        used = tried if used is None else used.union(tried)
-        pivots_each *= 4
+
+    each = dealt(placed.where("component <> main"), True, "outer", "inner").union(
+        dealt(placed, False, "inner", "outer")
+    )
+    return each.join(sets, F.col("node") == F.col("member")).select(
+        "cell", "outside", "component", "shingles"
+    )
+
+
+def links_of_cells(cells: DataFrame, percent: int) -> DataFrame:
+    """u, v: components that some pair of a cell links, at most one link less than a cell's components."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (_, outside, component, shingles) in grouped(stream):
+            links = cell_links(np.array(outside), np.array(component), shingles, percent)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"]
+            )
+
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.repartition(parts, "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(batches, "u long, v long")
+
+
+def cell_links(
+    outside: np.ndarray, component: np.ndarray, shingles: list[bytes], percent: int
+) -> list[tuple[int, int]]:
+    """Links between the components of sets outside and any others, without those that add nothing."""
+    n = np.array([len(s) // 8 for s in shingles])
+    flat = np.frombuffer(b"".join(shingles), np.uint64)
+    owner = np.repeat(np.arange(len(n)), n)
+    rows, columns = np.flatnonzero(outside), np.flatnonzero(~outside)
+    common = np.zeros((len(rows), len(columns)), np.float32)
+    _, word = first_of_each(flat)
+    often = np.bincount(word) > 1  # others are common to no two sets
+    number = np.cumsum(often) - 1
+    owner, word = owner[often[word]], number[word[often[word]]]
+    order = np.argsort(word, kind="stable")
+    owner, word = owner[order], word[order]
+    place = np.empty(len(n), np.int64)
+    place[rows], place[columns] = np.arange(len(rows)), np.arange(len(columns))
+    words = int(number[-1]) + 1 if len(number) else 0
+    for first in range(0, words, WORDS_AT_ONCE):  # products of 0/1 matrices count common words
+        a, b = np.searchsorted(word, (first, first + WORDS_AT_ONCE))
+        width = min(WORDS_AT_ONCE, words - first)
+        left = np.zeros((len(rows), width), np.float32)
+        right = np.zeros((len(columns), width), np.float32)
+        mine, at = owner[a:b], word[a:b] - first
+        out = outside[mine]
+        left[place[mine[out]], at[out]] = 1
+        right[place[mine[~out]], at[~out]] = 1
+        common += left @ right.T
+    both = n[rows][:, None] + n[columns][None, :]
+    hit = (100 + percent) * common.astype(np.int64) >= percent * both
+    hit &= component[rows][:, None] != component[columns][None, :]
+    r, c = np.nonzero(hit)
+    pairs = np.unique(np.stack([component[rows][r], component[columns][c]], 1), axis=0)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    links = []
+    for u, v in pairs.tolist():
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append((u, v))
+    return links
 
 
 def near_duplicates(

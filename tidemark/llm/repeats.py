@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import arrow_schema, per_text, texts
+from .common import arrow_schema, grouped, per_text, texts
 from .fingerprints import sliding_min
 from .pieces import mix, running_hash, span_hash
 
@@ -100,20 +100,6 @@ def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def grouped(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
-    """Rows, as lists of columns, by the first column of a stream that is sorted by it."""
-    key, rows = None, []
-    for batch in stream:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if rows and row[0] != key:
-                yield key, list(zip(*rows, strict=True))
-                rows = []
-            key = row[0]
-            rows.append(row)
-    if rows:
-        yield key, list(zip(*rows, strict=True))
-
-
 def repeated_anchors(rows: DataFrame, buckets: int) -> DataFrame:
     """same, codes: of each text (by its hash) the codes of its anchors that another text has too."""
     sent = "bucket int, rows array<long>, counts array<int>, low binary"

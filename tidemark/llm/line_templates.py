@@ -34,18 +34,18 @@ VARIABLE = "<*>"
 
 def normalised(line: Column) -> Column:
     """The line's tokens separated by single spaces, tokens with a digit as variable fields."""
-    spaced = F.when(
-        line.rlike(r"[ \t\r]{2}|[\t\r]|^ | $"), F.trim(F.regexp_replace(line, r"[ \t\r]+", " "))
-    ).otherwise(line)
-    return F.when(
-        spaced.rlike("[0-9]"), F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", VARIABLE)
-    ).otherwise(spaced)
+    # Most lines need nothing; one pass over a character class and plain searches tell.
+    as_is = ~(
+        line.rlike(r"[0-9\t\r]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    )
+    spaced = F.trim(F.regexp_replace(line, r"[ \t\r]+", " "))
+    return F.when(as_is, line).otherwise(F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", VARIABLE))
 
 
 def n_tokens(norm: Column) -> Column:
     """How many tokens a normalised line has."""
     return F.when(norm == "", 0).otherwise(
-        F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
+        F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
     )
 
 
@@ -59,10 +59,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def parsed_lines(rows: DataFrame) -> DataFrame:
-    """row, doc, line_no, leaf, pattern, n of every line with enough tokens."""
+    """row, doc, line_no, leaf, pattern, n (its number of tokens) of every line.
+
+    Short lines are left for the caller to drop once this is written: a filter here would be pushed below
+    and parse every line twice.
+    """
     lines = rows.select("row", "doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.withColumn("norm", normalised(F.col("line")))
-    lines = lines.withColumn("n", n_tokens(F.col("norm"))).where(F.col("n") >= MIN_TOKENS)
+    lines = lines.withColumn("n", n_tokens(F.col("norm")))
     return lines.select(
         "row",
         "doc",
@@ -129,7 +133,7 @@ def template_of_patterns(rows: DataFrame, lines: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """row, dropped: the numbers of the lines to drop from each row that has any."""
     rows = keyed(docs)
-    lines = materialize(parsed_lines(rows))
+    lines = materialize(parsed_lines(rows)).where(F.col("n") >= MIN_TOKENS)
     leaves = in_enough_docs(lines, ["leaf"], min_docs).select("leaf")
     lines = materialize(lines.join(leaves, "leaf", "left_semi"))
     template = F.when(F.col("joined"), F.lit(None)).otherwise(F.col("pattern"))

@@ -175,6 +175,22 @@ def test_result_reuse(spark):
     assert got == {1: "hit", 2: None, 3: None, 4: None}
 
 
+def test_result_reuse_sees_what_was_stored_before(spark):
+    """A newer result that a request cannot know of yet does not hide an older one that is fresh."""
+    at = datetime(2024, 6, 2, 1)
+    key = ("c", 2019, 2023, "f")
+    requests = spark.createDataFrame(
+        [(1, *key, at), (2, *key, at + timedelta(hours=3)), (3, *key, at + timedelta(hours=30)), (4, *key, at - timedelta(hours=9))],
+        "id int, hs_code string, year_start int, year_end int, fingerprint string, requested_at timestamp",
+    )
+    results = spark.createDataFrame(
+        [(*key, "v1", at - timedelta(hours=8), "old"), (*key, "v1", at + timedelta(hours=2), "new"), (*key, "v1", at + timedelta(hours=2), "even newer")],
+        "hs_code string, year_start int, year_end int, fingerprint string, version string, written_at timestamp, result string",
+    )
+    got = {r.id: r.result for r in L.result_reuse(requests, results, "v1").collect()}
+    assert got == {1: "old", 2: "new", 3: None, 4: None}
+
+
 def test_retention(spark):
     rows = spark.createDataFrame([(datetime(2024, 1, 1),), (datetime(2024, 3, 1),)], "ts timestamp")
     assert L.retain(rows, "ts", "2024-04-30 00:00:00").count() == 1

@@ -44,6 +44,12 @@ def verdicts(spark):
         (body(partner_region="EU"), ["RESERVED_FILTER"]),
         (body(value_or_volume="volume"), ["RESERVED_FILTER"]),
         ('{"hs_code": ', ["MALFORMED_JSON", "BAD_CODE"]),
+        ('{"hs_code": "010121"} trailing', ["MALFORMED_JSON", "BAD_CODE"]),
+        ('["010121"]', ["MALFORMED_JSON", "BAD_CODE"]),
+        ('{"hs_code": 123456}', ["BAD_TYPE"]),
+        ('{"hs_code": "010121", "flow": null}', ["BAD_TYPE"]),
+        ('{"hs_code": "010121", "partner_region": null, "year_start": null}', []),
+        ('{"hs_code": "010121\\n"}', ["BAD_CODE"]),
         (body(user_id="y" * 70_000), ["REQUEST_TOO_LARGE", "TEXT_TOO_LONG"]),
     ]
     return [(b, want, got) for (b, want), got in zip(cases, judge(spark, [b for b, _ in cases]))]
@@ -115,11 +121,14 @@ def test_ancestors_stop_at_gaps_and_cycles(spark):
     assert got["A"] == ["B"]
 
 
-def test_too_deep_a_tree_fails(spark):
+def test_deep_trees_and_long_cycles(spark):
     chain = [(str(i), "d", "s", str(i + 1), "4") for i in range(12)]
-    frame = spark.createDataFrame(chain, "code string, description string, section string, parent string, level string")
-    with pytest.raises(Exception, match="deeper than max_depth"):
-        X.ancestors(frame, max_depth=3).collect()
+    loop = [(f"L{i}", "d", "s", f"L{(i + 1) % 9}", "4") for i in range(9)] + [("in", "d", "s", "L3", "6")]
+    frame = spark.createDataFrame(chain + loop, "code string, description string, section string, parent string, level string")
+    got = {r.code: [p.code for p in r.path] for r in X.ancestors(frame).collect()}
+    assert got["0"] == [str(i) for i in range(1, 12)] and got["11"] == []
+    assert got["in"] == [f"L{(3 + i) % 9}" for i in range(9)]
+    assert got["L0"] == [f"L{i}" for i in range(1, 9)]
 
 
 def test_taxonomy_text(spark):

@@ -77,6 +77,17 @@ def test_vector_topk_is_exact_for_any_block_size(spark):
             assert [r.vec_id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == want[i]
 
 
+def test_vector_topk_with_other_keys_and_without_vectors(spark):
+    table = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0])], "vec_id string, embedding array<double>")
+    asked = spark.createDataFrame([(3, [2.0, 0.0])], "query_id smallint, embedding array<double>")
+    assert [(r.query_id, r.vec_id, r.rank) for r in V.vector_topk(asked, table, 2).collect()] == [(3, "a", 1), (3, "b", 2)]
+    assert V.vector_topk(asked.limit(0), table, 2).collect() == []
+    assert V.vector_topk(asked, table.limit(0), 2).collect() == []
+    none = spark.createDataFrame([(1, None)], "query_id long, embedding array<double>")
+    with pytest.raises(Exception, match="VectorSizeError"):
+        V.vector_topk(none, table, 2).collect()
+
+
 def test_vector_checks(spark):
     table = vectors(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])])
     assert V.checked_vectors(table, 2, 2) is table
@@ -120,7 +131,7 @@ def test_outcomes_at_the_thresholds(spark):
     assert outcome(spark, [(10, 0.7499)]).outcome == "disambiguate"
     assert outcome(spark, [(10, 0.35)]).outcome == "disambiguate"
     assert (o := outcome(spark, [(10, 0.3499)])).outcome == "no_candidates_found" and o.ranked is None
-    assert outcome(spark, []).outcome == "no_candidates_found"
+    assert outcome(spark, []).error_code == "RERANK_INVALID_CANDIDATE"  # candidates without scores
     assert [r.doc_id for r in outcome(spark, [(20, 0.5), (10, 0.5)]).ranked] == [20, 10]
 
 

@@ -107,7 +107,25 @@ def test_rule_files(spark, tmp_path):
     path = tmp_path / "rules.jsonl"
     path.write_text("\n".join([json.dumps(good), "", "   ", json.dumps(short)]) + "\n", encoding="utf-8")
     rows = D.read_rules(spark, str(path)).collect()
-    assert [r.missing for r in rows] == [[], ["section"]]
+    assert [r.missing_fields for r in rows] == [[], ["section"]]
     leaves = spark.createDataFrame([("010121",)], "code string")
-    sound = ruleset_integrity(D.read_rules(spark, str(path)).filter("size(missing) = 0"), leaves, 1).first()
+    sound = ruleset_integrity(D.read_rules(spark, str(path)).filter("size(missing_fields) = 0"), leaves, 1).first()
     assert sound.is_sound
+
+
+def test_csv_quotes_line_breaks_and_column_order(spark, tmp_path):
+    path = tmp_path / "taxonomy.csv"
+    path.write_text('level,hscode,description,parent,section\n6,730410,"tubes of 2"" bore, steel",7304,XV\n4,7304,"pipes,\nhollow",73,XV\n')
+    got = {r.code: (r.description, r.parent, r.section, r.level) for r in D.read_taxonomy(spark, str(path)).collect()}
+    assert got == {"730410": ('tubes of 2" bore, steel', "7304", "XV", "6"), "7304": ("pipes,\nhollow", "73", "XV", "4")}
+
+
+def test_rule_file_to_gate(spark, tmp_path):
+    from tidemark.operators.grounding import rule_gate
+
+    path = tmp_path / "rules.jsonl"
+    path.write_text('{"hs_code": "010121", "section": "I"}\n')
+    texts = spark.createDataFrame([("010121", "horses")], "code string, text string")
+    scanned = spark.createDataFrame([], "code string, scan array<struct<value:double,grounded:boolean>>")
+    findings = rule_gate(D.read_rules(spark, str(path)), texts, scanned, texts.select("code"), 1).collect()
+    assert [r.rule for r in findings] == ["missing_field"] and "section_name" in findings[0].detail

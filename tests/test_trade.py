@@ -153,7 +153,7 @@ def test_rendered_block(spark, value, text):
     block = tables.select(T.render_block(F.lit("IMPORTS")).alias("b")).first().b
     assert block.split("\n") == [
         "IMPORTS (USD, top 1 partner countries):",
-        f"  #1 Ada — 5yr cumulative {text} USD | by year: 2020: {text}, 2021: no data",
+        f"  #1 Ada — 2yr cumulative {text} USD | by year: 2020: {text}, 2021: no data",
         "  (excluded aggregate/unspecified-partner codes, not shown above: 0)",
         "  (provisional / not yet finalized years — subject to revision: 2021)",
     ]

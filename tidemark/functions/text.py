@@ -78,6 +78,7 @@ def present_phrases(text: Column, phrases: Column) -> Column:
 
 def numbered_candidates(query_text: Column, candidates: Column) -> Column:
     """A query and its candidates (array of struct ``code, description``) as a numbered list."""
+    # Wording of the list.
     lines = F.transform(
         candidates,
         lambda c, i: F.concat(

@@ -174,8 +174,20 @@ def rule_gate(
 ) -> DataFrame:
     """Findings (severity, rule, code, detail) of a rule set.
 
-    Integrity and number grounding block, phrases only warn.  ``scanned``: code, scan.
+    Absent fields, unknown codes and too few sections break the integrity of the set; then nothing
+    else is judged.  Number grounding blocks as well, phrases only warn.  ``scanned``: code, scan.
+    ``missing_fields`` of the rules is optional.
     """
+    incomplete = []
+    if "missing_fields" in rules.columns:
+        incomplete = [
+            rules.filter(F.size("missing_fields") > 0).select(
+                F.lit("blocking").alias("severity"),
+                F.lit("missing_field").alias("rule"),
+                F.coalesce("code", F.lit("*")).alias("code"),
+                F.array_join("missing_fields", ",").alias("detail"),
+            )
+        ]
     known = leaves.select("code").distinct()
     unknown = rules.join(known, "code", "left_anti").select(
         F.lit("blocking").alias("severity"),
@@ -219,7 +231,15 @@ def rule_gate(
         ).alias("f"),
     )
     warned = phrases.select(F.lit("warn").alias("severity"), "f.rule", "code", "f.detail")
-    return unknown.unionByName(narrow).unionByName(ungrounded).unionByName(warned)
+    broken = unknown.unionByName(narrow)
+    for part in incomplete:
+        broken = broken.unionByName(part)
+    # One row at most, so it may be broadcast.
+    any_broken = broken.select(F.lit(1).alias("_broken")).limit(1)
+    judged = ungrounded.unionByName(warned).withColumn("_broken", F.lit(1))
+    return broken.unionByName(
+        judged.join(F.broadcast(any_broken), "_broken", "left_anti").drop("_broken")
+    )
 
 
 def gate_verdict(findings: DataFrame) -> DataFrame:

@@ -241,25 +241,41 @@ def result_reuse(requests: DataFrame, results: DataFrame, version: str) -> DataF
     """Requests with ``is_hit`` and the stored result, for results fresh at request time.
 
     Requests: hs_code, year_start, year_end, fingerprint, requested_at.
-    Results: the same key, version, written_at, result.  Only the newest row per key counts; a new
-    version misses, and so does a result written after the request.
+    Results: the same key, version, written_at, result.  A request sees the newest result of its key
+    and version that was written no later than itself; it is a hit while that one is fresh.
+
+    A result lives for a day, so only results of the request's day and of the day before count.  Each
+    day of a key is ordered on its own, and its last result is handed to the next day: a hot key is
+    split by days.
     """
     key = ["hs_code", "year_start", "year_end", "fingerprint"]
-    newest = (
-        results.filter(F.col("version") == version)
-        .groupBy(*key)
-        .agg(F.max(F.struct("written_at", "result")).alias("_r"))
-        .select(*key, "_r.*")
+    stored = F.struct("written_at", "result")
+    own = results.filter(F.col("version") == version).select(
+        *key, F.to_date("written_at").alias("_day"), F.col("written_at").alias("_at"), stored.alias("_stored")
     )
-    fresh = (
-        F.col("written_at") + F.make_dt_interval(secs=F.lit(RESULT_TTL_SECONDS))
-        >= F.col("requested_at")
-    ) & (F.col("written_at") <= F.col("requested_at"))
-    return (
-        requests.join(newest, key, "left")
-        .withColumn("is_hit", F.coalesce(fresh, F.lit(False)))
-        .withColumn("result", F.when(F.col("is_hit"), F.col("result")))
-        .drop("written_at")
+    newest = own.groupBy(*key, "_day").agg(F.max("_stored").alias("_before"))
+    asked = requests.select(
+        *key, F.to_date("requested_at").alias("_day"), F.col("requested_at").alias("_at"), F.struct("*").alias("_row")
+    )
+    events = own.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).unionByName(
+        asked.withColumn("_stored", F.lit(None).cast(own.schema["_stored"].dataType))
+    )
+    so_far = (
+        Window.partitionBy(*key, "_day")
+        .orderBy("_at", F.col("_row").isNotNull(), "_stored")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    seen = events.withColumn("_seen", F.last("_stored", ignorenulls=True).over(so_far)).filter(
+        "_row IS NOT NULL"
+    )
+    day_before = newest.withColumn("_day", F.date_add("_day", 1))
+    found = seen.join(day_before, [*key, "_day"], "left").withColumn(
+        "_seen", F.coalesce("_seen", "_before")
+    )
+    fresh = F.col("_seen.written_at") + F.make_dt_interval(secs=F.lit(RESULT_TTL_SECONDS)) >= F.col("_at")
+    is_hit = F.coalesce(fresh, F.lit(False))
+    return found.select(
+        "_row.*", is_hit.alias("is_hit"), F.when(is_hit, F.col("_seen.result")).alias("result")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import fingerprint, first_reason
 
 # Limits and vocabularies of a request.
-CODE_PATTERN = r"^\d{6}$"
+CODE_PATTERN = r"^\d{6}\z"
 FLOWS = ("import", "export", "both")
 MEASURES = ("value", "volume")
 FIELDS = (
@@ -35,9 +35,21 @@ def _as_of_year(as_of: str) -> Column:
 
 
 def parse_requests(requests: DataFrame) -> DataFrame:
-    """Read the raw JSON object of each request into typed columns, defaults filled in."""
+    """Read the raw JSON object of each request into typed columns, defaults filled in.
+
+    Column ``_f`` holds the fields as text, ``_kinds`` the JSON kind of each; both are null unless the
+    whole text is one JSON object.
+    """
+    # The parser stops after one value; inside brackets, what follows it is an error or a second value.
+    whole = F.try_parse_json(F.concat(F.lit("["), F.col("raw"), F.lit("]")))
+    is_object = F.schema_of_variant(whole).startswith("ARRAY<OBJECT") & F.try_variant_get(
+        whole, "$[1]", "variant"
+    ).isNull()
     field = F.from_json("raw", "map<string,string>", {"mode": "PERMISSIVE"})
-    parsed = requests.withColumn("_f", field)
+    kinds = F.from_json("raw", "map<string,variant>", {"mode": "PERMISSIVE"})
+    parsed = requests.withColumn("_f", F.when(is_object, field)).withColumn(
+        "_kinds", F.when(is_object, F.transform_values(kinds, lambda _, v: F.schema_of_variant(v)))
+    )
 
     def text(name: str) -> Column:
         return F.col("_f")[name]
@@ -45,6 +57,7 @@ def parse_requests(requests: DataFrame) -> DataFrame:
     return parsed.select(
         *requests.columns,
         "_f",
+        "_kinds",
         text("hs_code").alias("hs_code"),
         F.coalesce(text("flow"), F.lit("both")).alias("flow"),
         text("year_start").try_cast("int").alias("year_start"),
@@ -71,12 +84,28 @@ def validate_requests(requests: DataFrame, as_of: str) -> DataFrame:
     def not_a_year(name: str) -> Column:
         return keys[name].isNotNull() & F.col(name).isNull()
 
+    def kind_among(name: str, *kinds: str) -> Column:
+        return ~F.array_contains(F.map_keys("_kinds"), name) | F.col("_kinds")[name].isin(*kinds)
+
+    # A field that is given must be of its JSON kind; null is allowed where there is no default.
+    mistyped = ~(
+        kind_among("hs_code", "STRING")
+        & kind_among("flow", "STRING")
+        & kind_among("value_or_volume", "STRING")
+        & kind_among("tenant_id", "STRING")
+        & kind_among("user_id", "STRING")
+        & kind_among("partner_region", "STRING", "VOID")
+        & ~F.coalesce(F.col("_kinds")["year_start"] == "BOOLEAN", F.lit(False))
+        & ~F.coalesce(F.col("_kinds")["year_end"] == "BOOLEAN", F.lit(False))
+    )
+
     latest = _as_of_year(as_of) + 1
     unknown = F.size(F.array_except(F.map_keys(keys), F.array(*[F.lit(f) for f in FIELDS]))) > 0
     reasons = first_reason(
         (F.octet_length("raw") > MAX_BYTES, "REQUEST_TOO_LARGE"),
         (keys.isNull() | (F.size(keys) == 0), "MALFORMED_JSON"),
         (unknown, "UNKNOWN_FIELD"),
+        (mistyped, "BAD_TYPE"),
         (~F.coalesce(F.col("hs_code").rlike(CODE_PATTERN), F.lit(False)), "BAD_CODE"),
         (~F.col("flow").isin(*FLOWS), "BAD_FLOW"),
         (~F.col("value_or_volume").isin(*MEASURES), "BAD_MEASURE"),
@@ -94,7 +123,7 @@ def validate_requests(requests: DataFrame, as_of: str) -> DataFrame:
             "RESERVED_FILTER",
         ),
     )
-    return parsed.withColumn("reasons", reasons).drop("_f")
+    return parsed.withColumn("reasons", reasons).drop("_f", "_kinds")
 
 
 def validate_search(queries: DataFrame, max_chars: int = MAX_QUERY_TEXT) -> DataFrame:

@@ -108,9 +108,11 @@ def rewrite_queries(queries: DataFrame, index: LexicalIndex, rewrites: DataFrame
     trimmed text is searched again with the rewrite, even if that finds nothing.
     """
     trimmed = F.trim("query_text")
+    # Of several rewrites of a variant the first in order counts.
+    one_each = rewrites.groupBy("variant").agg(F.min("term").alias("_term"))
     changed = (
         zero_hit_queries(queries, index)
-        .join(rewrites.select("variant", F.col("term").alias("_term")), trimmed == F.col("variant"))
+        .join(one_each, trimmed == F.col("variant"))
         .filter(F.col("_term") != trimmed)
         .select("query_id", "_term")
     )
@@ -141,17 +143,32 @@ def overlap_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def invalid_scores(scores: DataFrame, code_rule: Column | None = None) -> DataFrame:
-    """Queries whose score rows break a rule: a score outside [0,1], a bad code, not 1..8 rows."""
+def invalid_scores(
+    scores: DataFrame, code_rule: Column | None = None, candidates: DataFrame | None = None
+) -> DataFrame:
+    """Queries whose score rows break a rule: a score outside [0,1], a bad code, not 1..8 rows, a code
+    scored twice.
+
+    A query without any score row is seen only if ``candidates`` are given: one that has candidates
+    must have scores.
+    """
     bad_row = F.col("relevance").isNull() | ~F.col("relevance").between(0.0, 1.0)
     if code_rule is not None:
         bad_row = bad_row | ~F.coalesce(code_rule, F.lit(False))
-    return (
+    broken = (
         scores.groupBy("query_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.bool_or(bad_row).alias("bad"))
-        .filter(F.col("bad") | (F.col("n") > FUSED))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_distinct("doc_id").alias("n_codes"),
+            F.bool_or(bad_row).alias("bad"),
+        )
+        .filter(F.col("bad") | (F.col("n") > FUSED) | (F.col("n_codes") < F.col("n")))
         .select("query_id")
     )
+    if candidates is None:
+        return broken
+    asked = candidates.select("query_id").distinct()
+    return broken.unionByName(asked.join(scores, "query_id", "left_anti"))
 
 
 def ungrounded_codes(scores: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -183,7 +200,7 @@ def search_outcome(
     bad = (
         ungrounded_codes(scores, candidates)
         .select("query_id")
-        .unionByName(invalid_scores(scores, code_rule))
+        .unionByName(invalid_scores(scores, code_rule, candidates))
         .distinct()
         .withColumn("_bad", F.lit(True))
     )

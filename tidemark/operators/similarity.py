@@ -5,21 +5,20 @@ Queries: query_id, embedding.  Vectors: vec_id, embedding.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import l2_normalize
 from .lexical import SCORE_DIGITS
 
-# Largest query block that is shipped to the tasks, in bytes of its matrix.
-BLOCK_BYTES = 64 << 20
+# Size of a block of queries or of vectors, in bytes of its matrix.
+BLOCK_BYTES = 4 << 20
 
-# Most scores a task holds at a time, while it works through a batch of vectors.
-SCORES_AT_ONCE = 4 << 20
+# Most scores a task holds at a time, while it works through a cell.
+SCORES_AT_ONCE = 2 << 20
 
 
 class VectorSizeError(ValueError):
@@ -50,81 +49,49 @@ def checked_vectors(vectors: DataFrame, count: int, dims: int) -> DataFrame:
     return vectors
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = np.diff(column.offsets.to_numpy())
-    if len(sizes) and (sizes != dims).any():
-        raise VectorSizeError(f"vectors of size {set(sizes.tolist())} against queries of {dims}")
+    if column.null_count or (len(sizes) and (sizes != sizes[0]).any()):
+        raise VectorSizeError("null vectors, or vectors of several sizes")
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64, copy=False).reshape(-1, dims)
-
+    return flat.astype(np.float64, copy=False).reshape(len(sizes), -1)
 
-Best = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-
-def _merge_best(best: Best, sims: np.ndarray, ids: np.ndarray, k: int) -> Best:
-    """The best ``k`` (rounded, ids, similarities) of those kept so far and a new batch.
+def _cell_topk(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
+    """The best ``k`` of a block of vectors for each query of a block.
 
     Order is by rounded similarity, ties by key.
     """
-    rounded = np.round(sims, SCORE_DIGITS)
-    if len(sims) > k:
-        floor = np.partition(rounded, len(sims) - k)[len(sims) - k]
-        hits = np.flatnonzero(rounded >= floor)
-        rounded, ids, sims = rounded[hits], ids[hits], sims[hits]
-    merged = [np.concatenate(pair) for pair in zip(best, (rounded, ids, sims))]
-    order = np.lexsort((merged[1], -merged[0]))[:k]
-    return merged[0][order], merged[1][order], merged[2][order]
-
-
-def _block_topk(vectors: DataFrame, block: pa.Table, k: int) -> DataFrame:
-    """Score every vector against one block of queries; each task emits its best k per query."""
-    dims = len(block.column("embedding")[0])
-    shipped = vectors.sparkSession.sparkContext.broadcast(
-        (block.column("query_id").to_pylist(), _matrix(block.column("embedding"), dims))
-    )
-    key_type = block.schema.field("query_id").type
-    id_type = vectors.schema["vec_id"].dataType.simpleString()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, queries = shipped.value
-        best = None
-        id_arrow = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            id_arrow = batch.column("vec_id").type
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            stored = _matrix(batch.column("embedding"), dims)
-            if best is None:
-                best = [(np.empty(0), ids[:0], np.empty(0))] * len(keys)
-            step = max(1, SCORES_AT_ONCE // len(ids))
-            for at in range(0, len(keys), step):
-                sims = stored @ queries[at : at + step].T
-                for q in range(at, at + sims.shape[1]):
-                    best[q] = _merge_best(best[q], sims[:, q - at], ids, k)
-        if best is None:
-            return
-        for key, (rounded, ids, sims) in zip(keys, best):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([key] * len(ids), key_type),
-                    pa.array(ids, id_arrow),
-                    pa.array(sims, pa.float64()),
-                    pa.array(rounded, pa.float64()),
-                ],
-                ["query_id", "vec_id", "similarity", "rounded"],
-            )
-
-    query_type = {
-        "int32": "int",
-        "int64": "bigint",
-        "string": "string",
-        "large_string": "string",
-    }[str(key_type)]
-    return vectors.select("vec_id", "embedding").mapInArrow(
-        scan, f"query_id {query_type}, vec_id {id_type}, similarity double, rounded double"
+    vectors = vectors.take(pc.sort_indices(vectors["vec_id"]))
+    asked, stored = _matrix(queries["embedding"]), _matrix(vectors["embedding"])
+    if asked.shape[1] != stored.shape[1]:
+        raise VectorSizeError(f"vectors of size {stored.shape[1]} against queries of {asked.shape[1]}")
+    n = min(k, len(stored))
+    rows, at, exact, rounded = [], [], [], []
+    step = max(1, SCORES_AT_ONCE // max(1, len(stored)))
+    for first in range(0, len(asked), step):
+        sims = asked[first : first + step] @ stored.T
+        near = np.round(sims, SCORE_DIGITS)
+        floor = np.partition(near, len(stored) - n, axis=1)[:, len(stored) - n]
+        row, col = np.nonzero(near >= floor[:, None])
+        order = np.lexsort((col, -near[row, col], row))  # keys ascend with the columns
+        row, col = row[order], col[order]
+        begin = np.searchsorted(row, row)
+        best = np.arange(len(row)) - begin < n
+        row, col = row[best], col[best]
+        rows.append(row + first)
+        at.append(col)
+        exact.append(sims[row, col])
+        rounded.append(near[row, col])
+    return pa.table(
+        {
+            "query_id": queries["query_id"].take(pa.array(np.concatenate(rows))),
+            "vec_id": vectors["vec_id"].take(pa.array(np.concatenate(at))),
+            "similarity": pa.array(np.concatenate(exact)),
+            "rounded": pa.array(np.concatenate(rounded)),
+        }
     )
 
 
@@ -133,35 +100,50 @@ def vector_topk(
 ) -> DataFrame:
     """Best ``k`` vectors per query by cosine similarity, ties by key.
 
-    Vectors are expected at unit length, queries need not be.  The vector table is scanned in Arrow
-    batches where it lies and is never shuffled; a task keeps a running best k per query, so no
-    pairs leave it.  Queries are shipped to the tasks in blocks of at most ``block_bytes``: as long
-    as they fit one block there is one scan, more queries take one scan per block.
+    Vectors are expected at unit length, queries need not be; keys may be of any type that can be
+    ordered, null vectors fail.  Both tables are dealt into blocks of about ``block_bytes`` by a hash
+    of their keys.  A cell of the grid of blocks is one task's work, a few matrix products; it returns
+    its best k for each query, and these are merged.  No block passes through the driver, a row is
+    sent once for each block of the other table.
     """
-    unit = queries.select("query_id", l2_normalize(F.col("embedding")).alias("embedding"))
-    dims_row = unit.select(F.size("embedding").alias("dims")).first()
+    unit = queries.select(
+        "query_id",
+        l2_normalize(
+            F.coalesce("embedding", F.raise_error(F.lit("VectorSizeError: a query has no vector")))
+        ).alias("embedding"),
+    )
     schema = (
         f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
-        f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, similarity double"
+        f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, similarity double, rounded double"
+    )
+    dims = vectors.select(F.size("embedding")).first()
+    rows_each = max(1, block_bytes // (8 * max(1, dims[0] if dims else 1)))
+    n_query = max(1, -(-queries.count() // rows_each))
+    n_vector = max(1, -(-vectors.count() // rows_each))
+
+    def dealt(rows: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int):
+        return rows.select(
+            F.pmod(F.xxhash64(key), F.lit(n_own)).alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
+            key,
+            "embedding",
+        ).groupBy("query_block", "vector_block")
+
+    no_score = pa.array([], pa.float64())
+
+    def cell(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        if not len(asked) or not len(stored):
+            none = pa.table({"query_id": asked["query_id"][:0], "vec_id": stored["vec_id"][:0]})
+            return none.append_column("similarity", no_score).append_column("rounded", no_score)
+        return _cell_topk(asked, stored, k)
+
+    scored = (
+        dealt(unit, "query_id", "query_block", n_query, "vector_block", n_vector)
+        .cogroup(
+            dealt(vectors, "vec_id", "vector_block", n_vector, "query_block", n_query)
+        )
+        .applyInArrow(cell, schema)
     )
-    if dims_row is None:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    per_block = max(1, block_bytes // (8 * dims_row.dims))
-    # One more row than fits tells whether one block is enough, without a count first.
-    head = unit.limit(per_block + 1).toArrow()
-    if head.num_rows <= per_block:
-        scored = _block_topk(vectors, head, k)
-    else:
-        # Twice as many hash blocks as needed on average, so that none outgrows the bound.
-        n_blocks = 2 * -(-unit.count() // per_block)
-        block_of = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-        scored = None
-        for b in range(n_blocks):
-            block = unit.filter(block_of == b).toArrow()
-            if block.num_rows == 0:
-                continue
-            part = _block_topk(vectors, block, k)
-            scored = part if scored is None else scored.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("rounded"), "vec_id")
     return (
         scored.withColumn("rank", F.row_number().over(order))

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .requests import leaf_codes
 
-MAX_DEPTH = 6
-
 
 def latest_entries(rows: DataFrame, seq: str) -> DataFrame:
     """One row per code: the last one read wins."""
@@ -29,69 +27,52 @@ def lookup(keys: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return keys.join(taxonomy, "code", "left")
 
 
-def parent_paths(taxonomy: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def parent_paths(taxonomy: DataFrame) -> DataFrame:
     """For every node that is a parent: the chain from itself up to its root.
 
     Only inner nodes walk, which are few next to the leaves.  ``path`` is an array of struct
     (code, description), nearest first.  A chain stops at a missing parent or when it would meet a
-    code again; one that is still open after ``max_depth`` steps fails the query.
+    code again.  Every round appends the chain found so far of the node a chain has come to, so the
+    number of rounds grows with the logarithm of the depth; each round is written once.
     """
-    # Every step of the walk joins the inner nodes, so they are written once.
-    inner = materialize(
+    walk = materialize(
         taxonomy.join(
             taxonomy.select(F.col("parent").alias("code")).distinct(), "code", "left_semi"
-        ).select("code", "description", "parent")
-    )
-    up = inner.select(
-        F.col("code").alias("_up"),
-        F.col("description").alias("_up_description"),
-        F.col("parent").alias("_up_parent"),
-    )
-    walk = inner.select(
-        "code",
-        F.array(F.struct("code", "description")).alias("path"),
-        F.col("parent").alias("_next"),
-    )
-    for _ in range(max_depth):
-        seen = F.transform("path", lambda p: p["code"])
-        step = walk.join(up, F.col("_next") == F.col("_up"), "left")
-        grows = F.col("_up").isNotNull() & ~F.array_contains(seen, F.col("_up"))
-        walk = step.select(
+        ).select(
             "code",
-            F.when(
-                grows,
-                F.concat(
-                    "path",
-                    F.array(
-                        F.struct(
-                            F.col("_up").alias("code"),
-                            F.col("_up_description").alias("description"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(F.col("path"))
-            .alias("path"),
-            F.when(grows, F.col("_up_parent")).alias("_next"),
+            F.array(F.struct("code", "description")).alias("path"),
+            F.col("parent").alias("_next"),
         )
-    known = up.select("_up").withColumn("_open", F.lit(True))
-    checked = walk.join(known, F.col("_next") == F.col("_up"), "left")
+    )
     seen = F.transform("path", lambda p: p["code"])
-    still_open = F.col("_open") & ~F.array_contains(seen, F.col("_next"))
-    return checked.select(
-        "code",
-        F.when(
-            F.coalesce(still_open, F.lit(False)),
-            F.raise_error(F.concat(F.lit("taxonomy deeper than max_depth at "), F.col("code"))),
+    # What lies before the first code that the chain has already.
+    repeat = F.transform("_more", lambda p: F.array_contains("_seen", p["code"]))
+    n_fresh = F.coalesce(
+        F.nullif(F.array_position(repeat, F.lit(True)), F.lit(0)) - 1, F.size("_more")
+    ).cast("int")
+    while not walk.filter("_next IS NOT NULL").isEmpty():
+        up = walk.select(
+            F.col("code").alias("_up"), F.col("path").alias("_more"), F.col("_next").alias("_after")
         )
-        .otherwise(F.col("path"))
-        .alias("path"),
-    )
+        joined = (
+            walk.join(up, F.col("_next") == F.col("_up"), "left")
+            .withColumn("_seen", seen)
+            .withColumn("_fresh", n_fresh)
+        )
+        grown = F.concat("path", F.slice("_more", F.lit(1), F.col("_fresh")))
+        walk = materialize(
+            joined.select(
+                "code",
+                F.when(F.col("_up").isNotNull(), grown).otherwise(F.col("path")).alias("path"),
+                F.when(F.col("_fresh") == F.size("_more"), F.col("_after")).alias("_next"),
+            )
+        )
+    return walk.select("code", "path")
 
 
-def ancestors(taxonomy: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(taxonomy: DataFrame) -> DataFrame:
     """Every node with ``path``: its ancestors, nearest first, never the node itself."""
-    chains = parent_paths(taxonomy, max_depth).select(
+    chains = parent_paths(taxonomy).select(
         F.col("code").alias("parent"), F.col("path").alias("_chain")
     )
     # In a cycle the chain comes back to the node: keep what lies before it.

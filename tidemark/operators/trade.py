@@ -339,7 +339,7 @@ def render_block(label: Column) -> Column:
             r["rank"].cast("string"),
             F.lit(" "),
             r["partner_name"],
-            F.lit(" — 5yr cumulative "),
+            F.concat(F.lit(" — "), F.size(years).cast("string"), F.lit("yr cumulative ")),
             whole(r["cumulative"]),
             F.lit(" USD | by year: "),
             F.array_join(F.transform(years, lambda y: cell(r, y)), ", "),

@@ -242,34 +242,60 @@ def ruleset_integrity(spark: SparkSession, d: str) -> DataFrame:
     return G.ruleset_integrity(rules(spark, d), R.leaf_codes(S.taxonomy(spark, d)))
 
 
+GATE = f"""broken AS (
+  SELECT 'blocking' AS severity, 'unknown_code' AS rule, code, '' AS detail FROM rules
+  WHERE code NOT IN (SELECT {PART_CODE.format(k="p_partkey")} FROM part)
+  UNION ALL
+  SELECT 'blocking', 'few_sections', '*', CAST(count(DISTINCT section) AS VARCHAR) FROM rules
+  HAVING count(DISTINCT section) < 10),
+others AS (
+  SELECT 'blocking', 'ungrounded_number', code, CAST(n AS VARCHAR) FROM (
+    SELECT {PART_CODE.format(k="id * 3")} AS code, count(*) AS n FROM scanned WHERE NOT grounded
+    GROUP BY id) WHERE code IN (SELECT code FROM rules)
+  UNION ALL
+  SELECT 'warn', 'missing_phrase', code, p FROM
+    (SELECT code, t, unnest(must) AS p FROM judged) WHERE NOT contains(lower(t), lower(p))
+  UNION ALL
+  SELECT 'warn', 'forbidden_phrase', code, p FROM
+    (SELECT code, t, unnest(must_not) AS p FROM judged) WHERE contains(lower(t), lower(p)))"""
+
+GATED = "SELECT * FROM broken UNION ALL SELECT * FROM others WHERE NOT EXISTS (FROM broken)"
+
+
+def gated(spark: SparkSession, d: str, ruleset: DataFrame) -> DataFrame:
+    scanned = scanned_documents(spark, d).select(
+        S.part_code(F.col("doc_id") * 3).alias("code"), "scan"
+    )
+    leaves = R.leaf_codes(S.taxonomy(spark, d))
+    return G.rule_gate(ruleset, part_texts(spark, d), scanned, leaves, 10)
+
+
+@query(
+    with_ctes(
+        *PART_TEXTS, TEXTS_OF, RULES, FINDINGS, *FACT_CTES, DOC_TEXTS, SCAN, GATE, GATED
+    )
+)
+def rule_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Some rules name unknown codes, so the set is broken and nothing else is judged."""
+    return gated(spark, d, rules(spark, d))
+
+
 @query(
     with_ctes(
         *PART_TEXTS,
         TEXTS_OF,
-        RULES,
+        RULES.replace("rules AS (", "every_rule AS (", 1),
+        f"""rules AS (SELECT * FROM every_rule
+            WHERE code IN (SELECT {PART_CODE.format(k="p_partkey")} FROM part))""",
         FINDINGS,
         *FACT_CTES,
         DOC_TEXTS,
         SCAN,
-        f"""SELECT 'blocking' AS severity, 'unknown_code' AS rule, code, '' AS detail FROM rules
-        WHERE code NOT IN (SELECT {PART_CODE.format(k="p_partkey")} FROM part)
-        UNION ALL
-        SELECT 'blocking', 'few_sections', '*', CAST(count(DISTINCT section) AS VARCHAR) FROM rules
-        HAVING count(DISTINCT section) < 10
-        UNION ALL
-        SELECT 'blocking', 'ungrounded_number', {PART_CODE.format(k="id * 3")},
-               CAST(count(*) AS VARCHAR) FROM scanned WHERE NOT grounded GROUP BY id
-        UNION ALL
-        SELECT 'warn', 'missing_phrase', code, p FROM
-          (SELECT code, t, unnest(must) AS p FROM judged) WHERE NOT contains(lower(t), lower(p))
-        UNION ALL
-        SELECT 'warn', 'forbidden_phrase', code, p FROM
-          (SELECT code, t, unnest(must_not) AS p FROM judged) WHERE contains(lower(t), lower(p))""",
+        GATE,
+        GATED,
     )
 )
-def rule_gate(spark: SparkSession, d: str) -> DataFrame:
-    scanned = scanned_documents(spark, d).select(
-        S.part_code(F.col("doc_id") * 3).alias("code"), "scan"
-    )
-    leaves = R.leaf_codes(S.taxonomy(spark, d))
-    return G.rule_gate(rules(spark, d), part_texts(spark, d), scanned, leaves, 10)
+def rule_gate_sound(spark: SparkSession, d: str) -> DataFrame:
+    """The rules with known codes: the set is sound, so numbers and phrases are judged."""
+    leaves = R.leaf_codes(S.taxonomy(spark, d)).select("code").distinct()
+    return gated(spark, d, rules(spark, d).join(leaves, "code", "left_semi"))

@@ -228,17 +228,15 @@ def request_coalesce(spark: SparkSession, d: str) -> DataFrame:
             requested_at - INTERVAL 12 HOUR AS written_at,
             CASE WHEN flow = 'import' THEN 'v1' ELSE 'v2' END AS version,
             hs_code || ':' || lpad(CAST(request_id AS VARCHAR), 12, '0') AS result FROM keyed)""",
-        """newest AS (
-          SELECT * FROM (SELECT *, row_number() OVER (
-              PARTITION BY hs_code, year_start, year_end, fingerprint
-              ORDER BY written_at DESC, result DESC) AS n
-            FROM results WHERE version = 'v2') WHERE n = 1)""",
+        """stored AS (
+          SELECT hs_code, year_start, year_end, fingerprint, written_at, max(result) AS result
+          FROM results WHERE version = 'v2' GROUP BY ALL)""",
         """SELECT k.request_id,
-          coalesce(written_at + INTERVAL 24 HOUR >= requested_at AND written_at <= requested_at,
-                   false) AS is_hit,
-          CASE WHEN written_at + INTERVAL 24 HOUR >= requested_at AND written_at <= requested_at
-               THEN result END AS result
-        FROM keyed k LEFT JOIN newest USING (hs_code, year_start, year_end, fingerprint)""",
+          coalesce(s.written_at + INTERVAL 24 HOUR >= k.requested_at, false) AS is_hit,
+          CASE WHEN s.written_at + INTERVAL 24 HOUR >= k.requested_at THEN s.result END AS result
+        FROM keyed k ASOF LEFT JOIN stored s
+          ON k.hs_code = s.hs_code AND k.year_start = s.year_start AND k.year_end = s.year_end
+          AND k.fingerprint = s.fingerprint AND k.requested_at >= s.written_at""",
     )
 )
 def result_reuse(spark: SparkSession, d: str) -> DataFrame:

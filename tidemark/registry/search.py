@@ -195,6 +195,26 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH sims AS (
+      SELECT q.vec_id AS query_id, v.vec_id,
+        list_inner_product([x::DOUBLE FOR x IN q.embedding], [x::DOUBLE FOR x IN v.embedding])
+          / sqrt(list_inner_product([x::DOUBLE FOR x IN q.embedding], [x::DOUBLE FOR x IN q.embedding]))
+          AS similarity
+      FROM embeddings q CROSS JOIN embeddings v)
+    SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+        ORDER BY round(similarity, 9) DESC, vec_id) AS INTEGER) AS rank FROM sims)
+    WHERE rank <= 10"""
+)
+def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector as a query against all vectors."""
+    queries = S.vectors(spark, d).withColumnRenamed("vec_id", "query_id")
+    return V.vector_topk(queries, S.vectors(spark, d), 10).withColumn(
+        "similarity", F.round("similarity", 6)
+    )
+
+
 @query(
     with_ctes(
         DOCS,
@@ -381,13 +401,13 @@ def render_candidates(spark: SparkSession, d: str) -> DataFrame:
         DOCS,
         PART_QUERIES,
         REWRITTEN,
-        """queries AS (SELECT query_id, query_text FROM effective WHERE length(raw_text) <= 300)""",
+        """queries AS (SELECT query_id, query_text FROM effective WHERE length(raw_text) <= 200)""",
         BM25,
         HASHED,
         SCORES,
-        """SELECT e.query_id, CASE WHEN length(raw_text) > 300 THEN 'TEXT_TOO_LONG' END AS error_code,
+        """SELECT e.query_id, CASE WHEN length(raw_text) > 200 THEN 'TEXT_TOO_LONG' END AS error_code,
           outcome, selected_code, ranked,
-          CASE WHEN length(raw_text) <= 300 THEN is_rewritten END AS is_rewritten
+          CASE WHEN length(raw_text) <= 200 THEN is_rewritten END AS is_rewritten
         FROM effective e LEFT JOIN decided USING (query_id)""",
     )
 )
@@ -407,5 +427,4 @@ def product_search(spark: SparkSession, d: str) -> DataFrame:
         index,
         doc_vectors(spark, d),
         rewrites(spark, d),
-        max_chars=300,
     ).withColumn("ranked", ranked_text("ranked"))

@@ -389,7 +389,7 @@ blocks AS (
     CASE WHEN f.flow = 'import' THEN 'IMPORTS' ELSE 'EXPORTS' END || ' (USD, top ' ||
       count(c.rank) || ' partner countries):' ||
       coalesce(string_agg(chr(10) || '  #' || c.rank || ' ' || c.partner_name ||
-        ' — 5yr cumulative ' || format('{:,}', CAST(round_even(c.cumulative, 0) AS BIGINT)) ||
+        ' — ' || (c.year_end - c.year_start + 1) || 'yr cumulative ' || format('{:,}', CAST(round_even(c.cumulative, 0) AS BIGINT)) ||
         ' USD | by year: ' || c.by_year, '' ORDER BY c.rank),
         chr(10) || '  (no partner-country data available)') ||
       coalesce(chr(10) || '  (excluded aggregate/unspecified-partner codes, not shown above: ' ||

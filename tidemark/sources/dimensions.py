@@ -1,6 +1,7 @@
 """Small dimension files: partners, taxonomy and sections as CSV, rule sets as JSON lines.
 
-All are read with explicit string schemas, so codes keep their leading zeros.
+All columns are read as text, by the names in the header, so codes keep their leading zeros.  Quoted
+fields may hold doubled quotes and line breaks.
 """
 
 from __future__ import annotations
@@ -12,9 +13,16 @@ from ..operators.taxonomy import latest_entries
 from ..schemas import PARTNERS, RULES, RULES_REQUIRED, SECTIONS, TAXONOMY
 
 
+def read_named(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The named columns of a CSV file, wherever its header has them."""
+    return spark.read.csv(path, header=True, escape='"', multiLine=True).select(
+        *columns, "_metadata"
+    )
+
+
 def read_partners(spark: SparkSession, path: str) -> DataFrame:
     """partner_code, partner_name, is_aggregate."""
-    return spark.read.csv(path, schema=PARTNERS, header=True).select(
+    return read_named(spark, path, PARTNERS.fieldNames()).select(
         "partner_code",
         F.col("partner_desc").alias("partner_name"),
         (F.lower(F.trim("is_aggregate_code")) == "true").alias("is_aggregate"),
@@ -23,7 +31,7 @@ def read_partners(spark: SparkSession, path: str) -> DataFrame:
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """code, description, section, parent, level; of a repeated code the last row wins."""
-    rows = spark.read.csv(path, schema=TAXONOMY, header=True, multiLine=False).select(
+    rows = read_named(spark, path, TAXONOMY.fieldNames()).select(
         F.col("hscode").alias("code"),
         "description",
         "section",
@@ -39,15 +47,20 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, schema=SECTIONS, header=True)
+    return read_named(spark, path, SECTIONS.fieldNames()).drop("_metadata")
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules code, section, section_name, must, must_not, and ``missing``: required fields absent.
+    """The rules of a file with one JSON object in a line; see ``parse_rules``."""
+    return parse_rules(spark.read.text(path))
+
+
+def parse_rules(lines: DataFrame) -> DataFrame:
+    """Rules code, section, section_name, must, must_not, missing_fields, from text column ``value``.
 
-    Blank lines are skipped; a line with missing fields is kept with their names.
+    Blank lines are skipped; a line without some required fields is kept with their names.
     """
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = lines.filter(F.trim("value") != "")
     present = F.json_object_keys("value")
     parsed = lines.withColumn("r", F.from_json("value", RULES))
     return parsed.select(
@@ -59,5 +72,5 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
         F.array_except(
             F.array(*[F.lit(f) for f in RULES_REQUIRED]),
             F.coalesce(present, F.array().cast("array<string>")),
-        ).alias("missing"),
+        ).alias("missing_fields"),
     )

@@ -46,8 +46,8 @@ class BucketProcessor(StatefulProcessor):
         tokens, last = held if held else (full, int(calls["ts_us"].iloc[0]))
         allowed, left = [], []
         for t in calls["ts_us"].tolist():
-            tokens, ok = consume(tokens, t - last, self.requests, self.window_us)
-            last = t
+            tokens, ok = consume(tokens, max(0, t - last), self.requests, self.window_us)
+            last = max(last, t)  # a late call adds no time
             allowed.append(ok)
             left.append(tokens)
         self.bucket.update((int(tokens), int(last)))

@@ -8,13 +8,15 @@ Calls of one key depend on each other, so the log of a key is cut into time slic
 size.  A key that fits one slice (nearly every key) is just replayed.  For a hot key each slice is
 first reduced, in parallel, to the function it applies to the tokens found at its first call; the
 short chain of those functions gives every slice its start, and then all slices are replayed in
-parallel.  No slice is held in memory: tasks walk sorted rows.
+parallel.  No slice is held in memory: tasks walk sorted rows, and a slice's function is updated call by
+call.  That costs some twenty times a plain replay, so slices pay off from a few dozen of them on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,53 +47,64 @@ def slice_log(log: DataFrame, slice_rows: int = SLICE_ROWS, tick_us: int = TICK_
     return log.withColumn("_tick", tick).join(slices, ["key", "_tick"]).drop("_tick")
 
 
+class SliceFunction:
+    """What the calls of a slice so far do to the tokens found at its first call.
+
+    Kept in pieces: from ``start`` up to the next piece the tokens are ``now`` if ``flat``, else ``now``
+    plus the distance from the start.  There are no more pieces than the bucket holds tokens, plus a
+    few, and a call updates all of them at once; the calls themselves are not kept.
+    """
+
+    def __init__(self, requests: int, window_us: int):
+        self.requests, self.window, self.full = requests, window_us, requests * window_us
+        self.start = np.array([0, self.full], np.int64)
+        self.now = np.array([0, self.full], np.int64)
+        self.flat = np.array([False, True])
+
+    def call(self, gap_us: int) -> None:
+        """A call ``gap_us`` after the last one."""
+        gain = max(gap_us, 0) * self.requests
+        if gain >= self.full or (len(self.start) == 1 and self.flat[0]):
+            # Full, or one number, whatever was found.
+            tokens, _ = consume(int(self.now[0]) if gain < self.full else self.full, gap_us, self.requests, self.window)
+            self.start, self.now, self.flat = _ZERO, np.array([tokens]), _TRUE
+            return
+        end = np.append(self.start[1:], self.full + 1)
+        cuts = [self.start]
+        for level in (self.window, self.full):  # where a token is there, where the bucket is full
+            at = self.start + level - gain - self.now
+            cuts.append(at[~self.flat & (at > self.start) & (at < end)])
+        start = np.unique(np.concatenate(cuts))
+        of = np.searchsorted(self.start, start, "right") - 1
+        flat = self.flat[of]
+        level = self.now[of] + gain + np.where(flat, 0, start - self.start[of])
+        flat = flat | (level >= self.full)
+        level = np.minimum(level, self.full)
+        level = np.where(level >= self.window, level - self.window, level)
+        slope = np.where(flat, level, level - start)
+        new = np.ones(len(start), bool)
+        new[1:] = (slope[1:] != slope[:-1]) | (flat[1:] != flat[:-1])
+        self.start, self.now, self.flat = start[new], level[new], flat[new]
+
+    def pieces(self) -> tuple[list[int], list[int], list[bool]]:
+        """Starts, offsets, flat: the tokens are the offset, if not flat plus the tokens found."""
+        offsets = np.where(self.flat, self.now, self.now - self.start)
+        return self.start.tolist(), offsets.tolist(), self.flat.tolist()
+
+
+_ZERO, _TRUE = np.zeros(1, np.int64), np.ones(1, bool)
+
+
 def slice_function(
     times: list[int], requests: int, window_us: int
 ) -> list[tuple[int, int, bool]]:
-    """What a slice does to the tokens found at its first call.
-
-    Returned as pieces (start, offset, fixed): from ``start`` up to the next piece, the tokens left
-    after the last call are ``offset`` if fixed, else the tokens found plus ``offset``.
-    """
-    full = requests * window_us
-    # piece: [start, end) of tokens found, and the tokens now at its start; fixed pieces are flat
-    pieces = [[0, full, 0, False], [full, full + 1, full, True]]
+    """The pieces (start, offset, flat) of a whole slice."""
+    f = SliceFunction(requests, window_us)
     last = times[0]
     for t in times:
-        gain = (t - last) * requests
+        f.call(t - last)
         last = t
-        moved = []
-        for start, end, now, fixed in pieces:
-            now += gain
-            if fixed:
-                now = min(now, full)
-                moved.append([start, end, now - window_us if now >= window_us else now, True])
-                continue
-            # cut at the level where a token is available and at the level where the bucket is full
-            cuts = sorted({start, end, *(
-                start + level - now
-                for level in (window_us, full)
-                if start < start + level - now < end
-            )})
-            for a, b in zip(cuts, cuts[1:]):
-                level = now + a - start
-                if level >= full:
-                    moved.append([a, b, full - window_us, True])
-                elif level >= window_us:
-                    moved.append([a, b, level - window_us, False])
-                else:
-                    moved.append([a, b, level, False])
-        pieces = moved[:1]
-        for piece in moved[1:]:
-            previous = pieces[-1]
-            same_flat = previous[3] and piece[3] and previous[2] == piece[2]
-            length = previous[1] - previous[0]
-            same_slope = not previous[3] and not piece[3] and piece[2] == previous[2] + length
-            if same_flat or same_slope:
-                previous[1] = piece[1]
-            else:
-                pieces.append(piece)
-    return [(s, now if fixed else now - s, fixed) for s, _, now, fixed in pieces]
+    return list(zip(*f.pieces()))
 
 
 def _walk(frames: Iterator[pd.DataFrame]):
@@ -102,49 +115,34 @@ def _walk(frames: Iterator[pd.DataFrame]):
 
 def _slice_functions(log: DataFrame, requests: int, window_us: int) -> DataFrame:
     """(key, slice, first_us, last_us, pieces) of every slice, computed where its rows lie."""
-    full = requests * window_us
     key_type = log.schema["key"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
-
-        def finished():
-            key, part, first, last, head, tokens = state
-            pieces = (
-                slice_function(head, requests, window_us)
-                if tokens is None
-                else [(0, tokens, True)]
-            )
-            return pd.DataFrame(
-                {
-                    "key": [key],
-                    "slice": [part],
-                    "first_us": [first],
-                    "last_us": [last],
-                    "starts": [[p[0] for p in pieces]],
-                    "offsets": [[p[1] for p in pieces]],
-                    "fixed": [[p[2] for p in pieces]],
-                }
-            )
+    def finished(key, part, first, last, f: SliceFunction) -> pd.DataFrame:
+        starts, offsets, flat = f.pieces()
+        return pd.DataFrame(
+            {
+                "key": [key],
+                "slice": [part],
+                "first_us": [first],
+                "last_us": [last],
+                "starts": [starts],
+                "offsets": [offsets],
+                "fixed": [flat],
+            }
+        )
 
-        for key, part, t, _ in _walk(frames):
-            if state is None or (key, part) != (state[0], state[1]):
-                if state is not None:
-                    yield finished()
-                state = [key, part, t, t, [t], None]
-                continue
-            gap = t - state[3]
-            state[3] = t
-            if state[5] is not None:
-                state[5], _ = consume(state[5], gap, requests, window_us)
-            elif gap * requests >= full:
-                # the bucket is full here whatever came before: from now on one number is enough
-                state[4] = []
-                state[5], _ = consume(full, 0, requests, window_us)
-            else:
-                state[4].append(t)
-        if state is not None:
-            yield finished()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = part = f = None
+        for row_key, row_part, t, _ in _walk(frames):
+            if f is None or (row_key, row_part) != (key, part):
+                if f is not None:
+                    yield finished(key, part, first, last, f)
+                key, part, first, last = row_key, row_part, t, t
+                f = SliceFunction(requests, window_us)
+            f.call(t - last)
+            last = t
+        if f is not None:
+            yield finished(key, part, first, last, f)
 
     schema = (
         f"key {key_type}, slice bigint, first_us bigint, last_us bigint, "

@@ -41,6 +41,31 @@ def token_bucket(spark: SparkSession, d: str) -> DataFrame:
     return bucket_flags(S.request_log(spark, d), REQUESTS, WINDOW_US).drop("ts_us")
 
 
+@query(
+    with_ctes(
+        LOG,
+        """ordered AS (SELECT * REPLACE (CASE WHEN key % 3 = 0 THEN -1 ELSE key END AS key),
+            row_number() OVER (PARTITION BY CASE WHEN key % 3 = 0 THEN -1 ELSE key END
+              ORDER BY ts_us, call_id) AS n FROM log)""",
+        f"""walk(key, call_id, ts_us, n, found) AS ( -- RECURSE
+          SELECT key, call_id, ts_us, n, {REQUESTS * WINDOW_US}::BIGINT FROM ordered WHERE n = 1
+          UNION ALL
+          SELECT o.key, o.call_id, o.ts_us, o.n, least({REQUESTS * WINDOW_US}::BIGINT,
+            CASE WHEN w.found >= {WINDOW_US} THEN w.found - {WINDOW_US} ELSE w.found END
+            + (o.ts_us - w.ts_us) * {REQUESTS})
+          FROM walk w JOIN ordered o ON o.key = w.key AND o.n = w.n + 1)""",
+        f"""SELECT key, call_id, found >= {WINDOW_US} AS allowed,
+          CASE WHEN found >= {WINDOW_US} THEN found - {WINDOW_US} ELSE found END AS tokens FROM walk""",
+    )
+)
+def token_bucket_hot(spark: SparkSession, d: str) -> DataFrame:
+    """A third of all keys as one: its calls span many slices."""
+    log = S.request_log(spark, d)
+    one = F.when(F.col("key") % 3 == 0, F.lit(-1)).otherwise(F.col("key"))
+    hot = log.withColumn("key", one.cast(log.schema["key"].dataType))
+    return bucket_flags(hot, REQUESTS, WINDOW_US, slice_rows=200).drop("ts_us")
+
+
 @query(
     with_ctes(
         LOG,

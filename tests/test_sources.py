@@ -49,13 +49,13 @@ def write_files(root):
 def test_envelopes(spark, tmp_path):
     loaded = E.read_envelopes(spark, write_files(tmp_path)).cache()
     reasons = {(r.item_code, r.flow, r.year): r.reason for r in E.envelope_manifest(loaded).collect()}
-    schema, broken = "response failed schema validation", "response was not valid JSON"
+    schema, broken = "not an envelope", "no JSON"
     assert reasons == {
         ("010121", "import", 2019): None,
         ("010121", "import", 2020): None,
         ("010121", "import", 2021): schema,
         ("010121", "import", 2022): schema,
-        ("010121", "import", 2023): "upstream reported an error: quota used up",
+        ("010121", "import", 2023): "the source says: quota used up",
         ("010121", "export", 2019): broken,
         ("010121", "export", 2020): None,
         ("010121", "export", 2021): schema,
@@ -73,7 +73,7 @@ def test_envelopes(spark, tmp_path):
     )
     assert E.request_parameters(expected).first().flow_code == "M"
     issues = {r.year: r.reason for r in T.fetch_issues(expected, E.envelope_manifest(loaded)).collect()}
-    assert issues == {2018: "no load recorded", 2023: "upstream reported an error: quota used up"}
+    assert issues == {2018: "no load recorded", 2023: "the source says: quota used up"}
 
 
 def test_records_are_stored_by_flow_and_year(spark, tmp_path):

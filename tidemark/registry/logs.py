@@ -117,13 +117,16 @@ def quota_usage(spark: SparkSession, d: str) -> DataFrame:
         ORDER BY turn DESC, CASE WHEN role = 'system' THEN 1 ELSE 0 END DESC,
           CASE WHEN role = 'assistant' THEN sha256(text) END DESC NULLS LAST) AS n
         FROM conversations) WHERE n = 1)
-    SELECT doc_id AS thread_id,
+    SELECT thread_id,
       CASE WHEN conv_id IS NULL THEN 'THREAD_NOT_FOUND' WHEN role = 'system' THEN 'RUN_FAILED'
            WHEN role = 'assistant' THEN 'OK' ELSE 'THREAD_INCOMPLETE' END AS state,
       CASE WHEN role = 'assistant' THEN sha256(last.text) END AS response
-    FROM documents LEFT JOIN last ON conv_id = doc_id"""
+    FROM (SELECT DISTINCT conv_id AS thread_id FROM conversations
+          UNION ALL SELECT DISTINCT -1 - conv_id FROM conversations)
+      LEFT JOIN last ON conv_id = thread_id"""
 )
 def thread_latest(spark: SparkSession, d: str) -> DataFrame:
-    """State of the conversation numbered like each document, if there is one."""
-    asked = S.corpus(spark, d).select(F.col("doc_id").alias("thread_id"))
+    """State of every conversation, and of as many unknown ones."""
+    threads = S.table(spark, d, "conversations").select(F.col("conv_id").alias("thread_id")).distinct()
+    asked = threads.unionByName(threads.select((-1 - F.col("thread_id")).alias("thread_id")))
     return L.thread_state(asked, S.thread_runs(spark, d))

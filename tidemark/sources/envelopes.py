@@ -38,18 +38,18 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     reason = (
         F.when(
             envelope["_corrupt"].isNotNull() & F.expr("try_parse_json(value)").isNull(),
-            F.lit("response was not valid JSON"),
+            F.lit("no JSON"),
         )
         .when(
             envelope["_corrupt"].isNotNull()
             | envelope["count"].isNull()
             | envelope["data"].isNull()
             | F.coalesce(broken_record | bad_period, F.lit(False)),
-            F.lit("response failed schema validation"),
+            F.lit("not an envelope"),
         )
         .when(
             F.length(envelope["error"]) > 0,
-            F.concat(F.lit("upstream reported an error: "), envelope["error"]),
+            F.concat(F.lit("the source says: "), envelope["error"]),
         )
     )
     return parsed.select(

@@ -208,7 +208,8 @@ def links(
     found = labels(edges)
 
     cells = open_cells(materialize(open_buckets(members, found)), sets)
-    return components(edges.union(ordered(links_of_cells(cells, percent))))
+    more = materialize(ordered(links_of_cells(cells, percent)))
+    return components(edges.union(more))
 
 
 def open_cells(rows: DataFrame, sets: DataFrame) -> DataFrame:

@@ -65,8 +65,7 @@ def has_letter(text: str) -> bool:
 
 
 def support_vectors(x: np.ndarray, y: np.ndarray, steps: int = 100, cost: float = 20.0) -> np.ndarray:
-    """Weights and bias of a linear SVM (squared hinge), by accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights of a linear SVM (squared hinge), by accelerated gradient descent; the last column of x is 1."""
     w = np.zeros(x.shape[1], np.float32)
     y = y.astype(np.float32)
     ahead = w
@@ -98,8 +97,8 @@ class Vote:
         rows = []
         for a, b in pairs:
             own = (at == a) | (at == b)
-            rows.append(support_vectors(x[own], np.where(at[own] == a, 1.0, -1.0)))
-        return cls(names, pairs, np.array(rows, np.float32).reshape(len(pairs), x.shape[1] + 1))
+            rows.append(support_vectors(x if own.all() else x[own], np.where(at[own] == a, 1.0, -1.0)))
+        return cls(names, pairs, np.array(rows, np.float32).reshape(len(pairs), x.shape[1]))
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         """The class with most votes, then the largest sum of margins, and a score from 0.5 to 1."""
@@ -158,23 +157,32 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
 
     def rows_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            out = [[], [], []]
+            out = [[], [], [], []]
             for doc_id, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if has_letter(text):
                     out[0].append(doc_id)
                     out[1].append(lang)
-                    out[2].append(features(text).tobytes())
+                    x = features(text)
+                    slots = np.flatnonzero(x)
+                    out[2].append(slots.astype("<u2").tobytes())
+                    out[3].append(x[slots].tobytes())
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())],
-                names=["doc_id", "lang", "x"],
+                [pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)],
+                names=["doc_id", "lang", "slots", "values"],
             )
 
-    sample = rows.where(drawn).mapInArrow(rows_of, "doc_id long, lang string, x binary").collect()
+    schema = "doc_id long, lang string, slots binary, values binary"
+    sample = rows.where(drawn).mapInArrow(rows_of, schema).collect()
     if not sample:
         return None
-    sample.sort(key=lambda r: (r["doc_id"], r["lang"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in sample])
+    sample.sort(key=lambda r: (r["doc_id"], r["lang"], r["slots"], r["values"]))
+    x = np.zeros((len(sample), (1 << BITS) + 1), np.float32)
+    x[:, -1] = 1  # for the bias
+    for row, r in zip(x, sample, strict=True):
+        row[np.frombuffer(r["slots"], "<u2")] = np.frombuffer(r["values"], np.float32)
     langs = [r["lang"] for r in sample]
+    del sample
     groups = [family(lang) for lang in langs]
     inner = {}
     for name in set(groups):

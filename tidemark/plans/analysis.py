@@ -137,7 +137,10 @@ def trade_analysis(
         )
     )
     checked = _check_summaries(summarize(analyses))
-    described = _check_descriptions(describe(_item_texts(taxonomy, sections)))
+    # Only items that are asked for get a description.
+    asked_items = distinct.select("item_code").distinct()
+    asked_texts = _item_texts(taxonomy, sections).join(asked_items, "item_code", "left_semi")
+    described = _check_descriptions(describe(asked_texts))
     results = checked.join(described, "item_code", "left").withColumnRenamed(
         "item_code", "hs_code"
     )

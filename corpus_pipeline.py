@@ -25,9 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first; so do documents left empty."""
+    """Copied lines and lines of recurring templates go from all documents but the first; so do documents
+    left empty."""
     prepare(spark)
-    return line_templates.drop_recurring(docs)
+    return line_templates.drop_recurring(docs, every=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tidemark.llm import line_templates, near_duplicates, repeats
 from tidemark.llm.components import components
 from tidemark.llm.queries import ORACLE, QUERIES
@@ -182,3 +183,20 @@ def test_a_copy_without_any_line_left_goes(spark):
     text = "\n".join(words(i, 10) for i in range(5))
     done = line_templates.drop_recurring(docs_of(spark, [(i, text) for i in range(12)]))
     assert [tuple(r) for r in done.collect()] == [(0, text)]
+
+
+def left_of(spark, rows: list[tuple]) -> dict:
+    """Texts by id after the pipeline's line dedup."""
+    done = corpus_pipeline.line_dedup(spark, docs_of(spark, rows), "")
+    return {r["doc_id"]: r["text"] for r in done.collect()}
+
+
+def test_short_and_rare_copies_of_lines_go(spark):
+    """Lines of one token, scripts without blanks, and long lines that only two documents share."""
+    rare, chinese = "a long line that two documents share", "这是一个没有空格的段落也应该被认出来是重复的内容。"
+    rows = [(i, f"Menu\n{words(i, 9)}\n{i} {i + 1}\n\nend") for i in range(12)]
+    rows += [(20, f"{words(20, 9)}\n{rare}\n{chinese}\nAh"), (21, f"{words(21, 9)}\n{rare} \n{chinese}\nAh")]
+    got = left_of(spark, rows)
+    assert got[0] == rows[0][1] and got[20] == rows[12][1]
+    assert all(got[i] == f"{words(i, 9)}\n{i} {i + 1}\n" for i in range(1, 12))
+    assert got[21] == f"{words(21, 9)}\nAh"

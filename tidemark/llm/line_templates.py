@@ -13,6 +13,10 @@ blank ones, are never dropped: too little to tell a template by.  Null and empty
 line.  A null id sorts first.  Rows with one id are one document.  ``drop_recurring`` keeps all other
 columns, counts ``n_chars`` anew if it is there, and leaves out documents of which nothing is left.
 
+With ``every``, literal copies of a line go too, whatever the number of tokens, so that short lines and
+scripts without blanks have a way of their own: a line of MIN_TOKENS tokens or LONG characters recurs from
+two documents on, a shorter one from MIN_DOCS on.  Only blank lines are left out.
+
 Only hashes and counts of lines are shuffled, each hot leaf or pattern is summed up before, and a text
 moves twice: once where it is asked for the words of a pattern, and once to be cut.
 """
@@ -29,17 +33,23 @@ DEPTH = 3
 MIN_TOKENS = 3
 MIN_DOCS = 10
 SIMILARITY = 0.7
+#: Characters from which on a line of few tokens is no chance copy.
+LONG = 20
 VARIABLE = "<*>"
 
 
+def spaced(line: Column) -> Column:
+    """The line's tokens separated by single spaces."""
+    return F.trim(F.regexp_replace(line, r"[ \t\r]+", " "))
+
+
 def normalised(line: Column) -> Column:
     """The line's tokens separated by single spaces, tokens with a digit as variable fields."""
     # Most lines need nothing; one pass over a character class and plain searches tell.
     as_is = ~(
         line.rlike(r"[0-9\t\r]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
     )
-    spaced = F.trim(F.regexp_replace(line, r"[ \t\r]+", " "))
-    return F.when(as_is, line).otherwise(F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", VARIABLE))
+    return F.when(as_is, line).otherwise(F.regexp_replace(spaced(line), "[^ ]*[0-9][^ ]*", VARIABLE))
 
 
 def n_tokens(norm: Column) -> Column:
@@ -130,7 +140,24 @@ def template_of_patterns(rows: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def literal_copies(rows: DataFrame, min_docs: int) -> DataFrame:
+    """row, line_no of the lines that a smaller document has too, character by character but for blanks."""
+    lines = rows.select("row", "doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", spaced(F.col("line")))
+    long = (n_tokens(F.col("line")) >= MIN_TOKENS) | (F.char_length("line") >= LONG)
+    least = F.when(F.col("line") == "", 0).when(long, 2).otherwise(min_docs)
+    lines = materialize(
+        lines.select("row", "doc", "line_no", F.xxhash64("line").alias("literal"), least.alias("least"))
+    ).where("least > 0")
+    recurring = in_enough_docs(lines, ["literal", "least"], 2).where("docs >= least")
+    return (
+        lines.join(recurring.select("literal", "first_doc"), "literal")
+        .where(F.col("doc") > F.col("first_doc"))
+        .select("row", "line_no")
+    )
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, every: bool = False) -> DataFrame:
     """row, dropped: the numbers of the lines to drop from each row that has any."""
     rows = keyed(docs)
     lines = materialize(parsed_lines(rows)).where(F.col("n") >= MIN_TOKENS)
@@ -143,15 +170,13 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         )
     )
     recurring = in_enough_docs(lines, ["template"], min_docs).select("template", "first_doc")
-    return (
-        lines.join(recurring, "template")
-        .where(F.col("doc") > F.col("first_doc"))
-        .groupBy("row")
-        .agg(F.collect_set("line_no").alias("dropped"))
-    )
+    dropped = lines.join(recurring, "template").where(F.col("doc") > F.col("first_doc")).select("row", "line_no")
+    if every:
+        dropped = dropped.union(literal_copies(rows, min_docs))
+    return dropped.groupBy("row").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def cut(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def cut(docs: DataFrame, min_docs: int = MIN_DOCS, every: bool = False) -> DataFrame:
     """row, whole, n_lines, n_dropped, kept (the text without its recurring lines) of every document."""
     lines = F.split("text", "\n")
     left = F.filter(lines, lambda line, i: ~F.array_contains("dropped", i))
@@ -159,7 +184,7 @@ def cut(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # Few rows have lines to drop; the others keep their text as it is.
     return (
         keyed(docs)
-        .join(recurring_lines(docs, min_docs), "row", "left")
+        .join(recurring_lines(docs, min_docs, every), "row", "left")
         .select(
             "whole",
             F.size(lines).cast("long").alias("n_lines"),
@@ -176,9 +201,9 @@ def line_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, every: bool = False) -> DataFrame:
     """All columns of all documents of which something is left, recurring lines cut from ``text``."""
-    done = cut(docs, min_docs).where("n_dropped = 0 or kept rlike '[^ \\\\t\\\\r\\\\n]'")
+    done = cut(docs, min_docs, every).where("n_dropped = 0 or kept rlike '[^ \\\\t\\\\r\\\\n]'")
     changed = F.col("n_dropped") > 0
     new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("whole.text"))}
     if "n_chars" in docs.columns:
@@ -189,7 +214,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     )
 
 
-#: The same in SQL, for tables with one row for each doc_id.
+#: The same (without ``every``) in SQL, for tables with one row for each doc_id.
 SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(generate_series(1, len(parts))) AS line_no, unnest(parts) AS line

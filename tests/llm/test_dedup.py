@@ -200,3 +200,15 @@ def test_short_and_rare_copies_of_lines_go(spark):
     assert got[0] == rows[0][1] and got[20] == rows[12][1]
     assert all(got[i] == f"{words(i, 9)}\n{i} {i + 1}\n" for i in range(1, 12))
     assert got[21] == f"{words(21, 9)}\nAh"
+
+
+def test_several_templates_of_one_leaf_go(spark):
+    """Two templates with the same leading tokens, neither of which has a majority, and lines of neither."""
+    rows = []
+    for i in range(50):
+        name = words(900 + i, 1)
+        line = f"Share this on Facebook with your friend {name}" if i % 2 else f"Share this on Twitter using your account {name}"
+        rows.append((i, f"{words(i, 9)}\n{line if i % 5 else 'Share this on ' + words(700 + i, 5)}"))
+    got = left_of(spark, rows)
+    stay = {1, 2} | set(range(0, 50, 5))
+    assert got == {i: text if i in stay else text.split("\n")[0] for i, text in rows}

@@ -15,7 +15,8 @@ columns, counts ``n_chars`` anew if it is there, and leaves out documents of whi
 
 With ``every``, literal copies of a line go too, whatever the number of tokens, so that short lines and
 scripts without blanks have a way of their own: a line of MIN_TOKENS tokens or LONG characters recurs from
-two documents on, a shorter one from MIN_DOCS on.  Only blank lines are left out.
+two documents on, a shorter one from MIN_DOCS on.  Only blank lines are left out.  A leaf then may also
+hold several templates, made of the tokens that at least MIN_DOCS of its documents have at a position.
 
 Only hashes and counts of lines are shuffled, each hot leaf or pattern is summed up before, and a text
 moves twice: once where it is asked for the words of a pattern, and once to be cut.
@@ -98,8 +99,8 @@ def in_enough_docs(lines: DataFrame, keys: list[str], least: int) -> DataFrame:
     )
 
 
-def template_of_patterns(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """leaf, pattern, joined: whether a pattern belongs to the template of its leaf."""
+def pattern_words(rows: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """leaf, pattern, n, docs of every pattern; and with position and token of each word after the leading."""
     patterns = materialize(
         lines.groupBy("leaf", "pattern", "n")
         .agg(F.min(F.struct("row", "line_no")).alias("at"))
@@ -120,6 +121,11 @@ def template_of_patterns(rows: DataFrame, lines: DataFrame) -> DataFrame:
             "leaf", "pattern", "n", "docs", F.posexplode("tokens").alias("position", "token")
         )
     ).where(F.col("position") >= DEPTH)
+    return patterns, words
+
+
+def template_of_patterns(patterns: DataFrame, words: DataFrame) -> DataFrame:
+    """leaf, pattern, joined: whether a pattern belongs to the template of its leaf."""
     sizes = patterns.groupBy("leaf").agg(F.sum("docs").alias("all_docs"))
     constant = (
         words.groupBy("leaf", "position", "token")
@@ -140,6 +146,35 @@ def template_of_patterns(rows: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def frequent_templates(patterns: DataFrame, words: DataFrame, min_docs: int) -> DataFrame:
+    """leaf, pattern, template: the templates of tokens that many documents of the leaf have.
+
+    A leaf may hold several templates, none of them with a majority.  At each level, min_docs documents and
+    each double of it, the tokens that so many have are constant, and lines with the same constants at the
+    same positions are of one template.  Fields with common values are variable on the higher levels.
+    """
+    frequent = (
+        words.groupBy("leaf", "position", "token").agg(F.sum("docs").alias("found")).where(F.col("found") >= min_docs)
+    )
+    level = F.floor(F.log2(F.col("found") / min_docs) + 1e-9).cast("int")
+    held = (
+        words.select("leaf", "pattern", "n", "position", "token")
+        .join(frequent, ["leaf", "position", "token"])
+        .groupBy("leaf", "pattern", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("position", F.xxhash64("token").alias("token"), level.alias("level")))).alias("held"))
+    )
+    levels = held.select("*", F.explode(F.sequence(F.lit(0), F.array_max("held.level"))).alias("level"))
+    constant = F.filter("held", lambda word: word["level"] >= F.col("level"))
+    same = F.size("constant") + F.least("n", F.lit(DEPTH))
+    of_words = F.transform("constant", lambda word: F.struct(word["position"], word["token"]))
+    return (
+        levels.select("leaf", "pattern", "n", constant.alias("constant"))
+        .where(same >= SIMILARITY * F.col("n"))
+        .select("leaf", "pattern", F.xxhash64("leaf", of_words).alias("template"))
+        .distinct()
+    )
+
+
 def literal_copies(rows: DataFrame, min_docs: int) -> DataFrame:
     """row, line_no of the lines that a smaller document has too, character by character but for blanks."""
     lines = rows.select("row", "doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -163,14 +198,27 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, every: bool = Fal
     lines = materialize(parsed_lines(rows)).where(F.col("n") >= MIN_TOKENS)
     leaves = in_enough_docs(lines, ["leaf"], min_docs).select("leaf")
     lines = materialize(lines.join(leaves, "leaf", "left_semi"))
+    patterns, words = pattern_words(rows, lines)
     template = F.when(F.col("joined"), F.lit(None)).otherwise(F.col("pattern"))
-    lines = materialize(
-        lines.join(template_of_patterns(rows, lines), ["leaf", "pattern"]).select(
-            "row", "doc", "line_no", F.xxhash64("leaf", template).alias("template")
-        )
+    templates = template_of_patterns(patterns, words).select(
+        "leaf", "pattern", F.xxhash64("leaf", template).alias("template")
     )
-    recurring = in_enough_docs(lines, ["template"], min_docs).select("template", "first_doc")
-    dropped = lines.join(recurring, "template").where(F.col("doc") > F.col("first_doc")).select("row", "line_no")
+    if every:
+        templates = materialize(templates.union(frequent_templates(patterns, words, min_docs)))
+        of_docs = lines.select("leaf", "pattern", "doc").distinct().join(templates, ["leaf", "pattern"])
+        firsts = (
+            templates.join(in_enough_docs(of_docs, ["template"], min_docs), "template")
+            .groupBy("leaf", "pattern")
+            .agg(F.min("first_doc").alias("first_doc"))
+        )
+        recurring = lines.join(firsts, ["leaf", "pattern"])
+    else:
+        lines = materialize(
+            lines.join(templates, ["leaf", "pattern"]).select("row", "doc", "line_no", "template")
+        )
+        firsts = in_enough_docs(lines, ["template"], min_docs).select("template", "first_doc")
+        recurring = lines.join(firsts, "template")
+    dropped = recurring.where(F.col("doc") > F.col("first_doc")).select("row", "line_no")
     if every:
         dropped = dropped.union(literal_copies(rows, min_docs))
     return dropped.groupBy("row").agg(F.collect_set("line_no").alias("dropped"))

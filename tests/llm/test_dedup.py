@@ -212,3 +212,13 @@ def test_several_templates_of_one_leaf_go(spark):
     got = left_of(spark, rows)
     stay = {1, 2} | set(range(0, 50, 5))
     assert got == {i: text if i in stay else text.split("\n")[0] for i, text in rows}
+
+
+def test_rows_of_numbers_and_short_lists_stay(spark):
+    """Fields and leading words alone make no template; a line with a field and constant words does."""
+    rows = [
+        (i, f"{i} {i + 1} {2 * i}\n{i} {i} {i} kg\nThe capital of {words(600 + i, 1)}\nPosted by user{i} on day {i}\n{words(i, 9)}")
+        for i in range(20)
+    ] + [(100 + i, f"{i} 77 {i}\n{i} 78 {i}") for i in range(12)]
+    got = left_of(spark, rows)
+    assert got == {i: text if i == 0 or i >= 100 else text.replace(f"Posted by user{i} on day {i}\n", "") for i, text in rows}

@@ -17,6 +17,8 @@ With ``every``, literal copies of a line go too, whatever the number of tokens,
 scripts without blanks have a way of their own: a line of MIN_TOKENS tokens or LONG characters recurs from
 two documents on, a shorter one from MIN_DOCS on.  Only blank lines are left out.  A leaf then may also
 hold several templates, made of the tokens that at least MIN_DOCS of its documents have at a position.
+A line that is no literal copy then needs a constant literal beyond the leading tokens, SIMILARITY of its
+literals constant, and as many literals as fields at least, to belong to a template.
 
 Only hashes and counts of lines are shuffled, each hot leaf or pattern is summed up before, and a text
 moves twice: once where it is asked for the words of a pattern, and once to be cut.
@@ -100,7 +102,8 @@ def in_enough_docs(lines: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 
 def pattern_words(rows: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """leaf, pattern, n, docs of every pattern; and with position and token of each word after the leading."""
+    """leaf, pattern, n, docs of every pattern; and position and token of each of its words after the
+    leading ones, with the number of its literals, and of those among its leading words."""
     patterns = materialize(
         lines.groupBy("leaf", "pattern", "n")
         .agg(F.min(F.struct("row", "line_no")).alias("at"))
@@ -116,16 +119,34 @@ def pattern_words(rows: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFra
         .select("row", "line_no", F.split(normalised(line), " ").alias("tokens"))
         .dropDuplicates(["row", "line_no"])
     )
+    literals = F.filter("tokens", lambda token: token != VARIABLE)
+    leading = F.filter(F.slice("tokens", 1, DEPTH), lambda token: token != VARIABLE)
     words = materialize(
         patterns.join(texts, ["row", "line_no"]).select(
-            "leaf", "pattern", "n", "docs", F.posexplode("tokens").alias("position", "token")
+            "leaf",
+            "pattern",
+            "n",
+            "docs",
+            F.size(literals).alias("literals"),
+            F.size(leading).alias("leading"),
+            F.posexplode("tokens").alias("position", "token"),
         )
     ).where(F.col("position") >= DEPTH)
     return patterns, words
 
 
+def told_by_words(agree: Column) -> Column:
+    """Whether a pattern with so many constant literals after the leading ones is of a template for sure.
+
+    Fields have no say, so rows of numbers and lines that share no more than their leading words are not.
+    """
+    enough = agree + F.col("leading") >= SIMILARITY * F.col("literals")
+    return (agree >= 1) & enough & (2 * F.col("literals") >= F.col("n"))
+
+
 def template_of_patterns(patterns: DataFrame, words: DataFrame) -> DataFrame:
-    """leaf, pattern, joined: whether a pattern belongs to the template of its leaf."""
+    """leaf, pattern, joined, told: whether a pattern belongs to the template of its leaf, and whether its
+    literals alone tell so."""
     sizes = patterns.groupBy("leaf").agg(F.sum("docs").alias("all_docs"))
     constant = (
         words.groupBy("leaf", "position", "token")
@@ -135,14 +156,18 @@ def template_of_patterns(patterns: DataFrame, words: DataFrame) -> DataFrame:
         .select("leaf", "position", "token")
     )
     agree = (
-        words.select("leaf", "pattern", "position", "token")
+        words.select("leaf", "pattern", "n", "literals", "leading", "position", "token")
         .join(constant, ["leaf", "position", "token"])
-        .groupBy("leaf", "pattern")
-        .agg(F.count("*").alias("agree"))
+        .groupBy("leaf", "pattern", "n", "literals", "leading")
+        .agg(F.count("*").alias("agree"), F.count_if(F.col("token") != VARIABLE).alias("agree_literals"))
+        .select("leaf", "pattern", "agree", told_by_words(F.col("agree_literals")).alias("told"))
     )
     same = F.coalesce("agree", F.lit(0)) + F.least("n", F.lit(DEPTH))
     return patterns.join(agree, ["leaf", "pattern"], "left").select(
-        "leaf", "pattern", (same >= SIMILARITY * F.col("n")).alias("joined")
+        "leaf",
+        "pattern",
+        (same >= SIMILARITY * F.col("n")).alias("joined"),
+        F.coalesce("told", F.lit(False)).alias("told"),
     )
 
 
@@ -157,19 +182,22 @@ def frequent_templates(patterns: DataFrame, words: DataFrame, min_docs: int) ->
         words.groupBy("leaf", "position", "token").agg(F.sum("docs").alias("found")).where(F.col("found") >= min_docs)
     )
     level = F.floor(F.log2(F.col("found") / min_docs) + 1e-9).cast("int")
+    is_literal = F.col("token") != VARIABLE
+    word = F.struct("position", F.xxhash64("token").alias("token"), level.alias("level"), is_literal.alias("literal"))
     held = (
-        words.select("leaf", "pattern", "n", "position", "token")
+        words.select("leaf", "pattern", "n", "literals", "leading", "position", "token")
         .join(frequent, ["leaf", "position", "token"])
-        .groupBy("leaf", "pattern", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("position", F.xxhash64("token").alias("token"), level.alias("level")))).alias("held"))
+        .groupBy("leaf", "pattern", "n", "literals", "leading")
+        .agg(F.sort_array(F.collect_list(word)).alias("held"))
     )
     levels = held.select("*", F.explode(F.sequence(F.lit(0), F.array_max("held.level"))).alias("level"))
     constant = F.filter("held", lambda word: word["level"] >= F.col("level"))
     same = F.size("constant") + F.least("n", F.lit(DEPTH))
+    told = told_by_words(F.size(F.filter("constant", lambda word: word["literal"])))
     of_words = F.transform("constant", lambda word: F.struct(word["position"], word["token"]))
     return (
-        levels.select("leaf", "pattern", "n", constant.alias("constant"))
-        .where(same >= SIMILARITY * F.col("n"))
+        levels.select("leaf", "pattern", "n", "literals", "leading", constant.alias("constant"))
+        .where((same >= SIMILARITY * F.col("n")) & told)
         .select("leaf", "pattern", F.xxhash64("leaf", of_words).alias("template"))
         .distinct()
     )
@@ -200,9 +228,11 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, every: bool = Fal
     lines = materialize(lines.join(leaves, "leaf", "left_semi"))
     patterns, words = pattern_words(rows, lines)
     template = F.when(F.col("joined"), F.lit(None)).otherwise(F.col("pattern"))
-    templates = template_of_patterns(patterns, words).select(
-        "leaf", "pattern", F.xxhash64("leaf", template).alias("template")
-    )
+    templates = template_of_patterns(patterns, words)
+    if every:
+        # A pattern of its own has literal copies, or is made of frequent tokens.
+        templates = templates.where("joined and told")
+    templates = templates.select("leaf", "pattern", F.xxhash64("leaf", template).alias("template"))
     if every:
         templates = materialize(templates.union(frequent_templates(patterns, words, min_docs)))
         of_docs = lines.select("leaf", "pattern", "doc").distinct().join(templates, ["leaf", "pattern"])

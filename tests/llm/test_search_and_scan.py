@@ -168,6 +168,37 @@ def test_structures(text, kinds):
     assert {part.split(":")[0] for part in secret_scan.joined(secret_scan.spans(text)[1]).split(",") if part} == kinds
 
 
+def folded(raw: bytes, line_break: str) -> str:
+    text = b64(raw)
+    return line_break.join(text[i : i + 64] for i in range(0, len(text), 64))
+
+
+WHOLE_SSH = SSH[:-4] + b"".join(len(f).to_bytes(4, "big") + f for f in (b"public" * 9, b"private" * 12))
+
+
+@pytest.mark.parametrize(
+    ("before", "secret", "after", "kind"),
+    [
+        ('{"private_key": "', f"-----BEGIN PRIVATE KEY-----\\n{folded(WRAPPED, chr(92) + 'n')}\\n-----END PRIVATE KEY-----", '\\n"}', "pem"),
+        ("", f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{folded(KEY[5:], chr(10))}\n-----END RSA PRIVATE KEY-----", "", "pem"),
+        ("a key\n", folded(WRAPPED, "\n"), "\nend of it", "der"),
+        ("a key\\n", folded(KEY, "\\r\\n"), "\\nend of it", "der"),
+        ("a key\n", folded(WHOLE_SSH, "\r\n"), "\r\nend of it", "ssh"),
+        ("www.a-long-name-of-a-host.", f"{b64(json.dumps({'alg': 'HS256'}, indent=1).encode()).rstrip('=')}.{url64({'sub': 1})}.c2ln", " end", "jwt"),
+    ],
+)
+def test_keys_written_in_other_ways(before, secret, after, kind):
+    """Escaped line breaks, lines without a frame, a header with white space: the whole secret is reported."""
+    found = secret_scan.joined(secret_scan.spans(before + secret + after)[1]).split(",")
+    assert f"{kind}:{len(before)}:{len(before + secret)}" in found
+    assert secret_scan.redacted(before + secret + after) == before + "[SECRET]" + after
+
+
+def test_lines_of_base64_that_are_no_key():
+    for text in (folded(WRAPPED[:-1], "\n"), folded(b"0\x82\x01\x00" + b"x" * 300, "\n"), f"{'M' * 20}\n{'b' * 20}"):
+        assert secret_scan.spans(text)[1] == []
+
+
 def test_base_spans():
     def base(text):
         return secret_scan.joined(secret_scan.spans(text)[0])

@@ -40,9 +40,18 @@ KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
 # A run of at least 20 characters that keys and tokens are written in; no other kind than assign lacks it.
 LONG = re.compile(r"[A-Za-z0-9+/_-]{20}")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]*)-----END \1-----")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
+# Any three parts in the alphabet of tokens; the shortest header has 14 characters.  Parts may overlap with
+# those of a name before them, so nothing is consumed.  An escaped line break may stand before a candidate.
+TRIPLE = re.compile(
+    r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nrt]))(?=([A-Za-z0-9_-]{14,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))"
+)
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[Mb][A-Za-z0-9+/]{39,}={0,2}")
+# The start of base64 that may run over line breaks, real or escaped ones; its structure tells the end.
+WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?=M[A-Za-z0-9+/]{15}|b3BlbnNzaC1rZXktdjEA)")
+RUN = re.compile(r"[A-Za-z0-9+/]+")
+BREAK = re.compile(r"(?:[ \t]*(?:\\+[nrt]|[\r\n]))+[ \t]*")
+PADDING = re.compile(r"(?:(?:[ \t]*(?:\\+[nrt]|[\r\n]))*[ \t]*={1,2})?(?![A-Za-z0-9+/])")
 HEX_DER = re.compile(r"(?<![0-9a-fA-F])30[0-9a-fA-F]{62,}")
 
 Span = tuple[int, int, int]  # start, place of the kind, end
@@ -66,13 +75,13 @@ def base_spans(text: str) -> list[Span]:
 
 def confirmed_spans(text: str) -> list[Span]:
     """Spans whose decoded content has the structure of a key or of a signed token."""
-    if not LONG.search(text):
-        return []
     found: list[Span] = []
     if "-----BEGIN " in text:
         found += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if is_pem_body(m[2])]
-    if "eyJ" in text:
-        found += [(m.start(), 4, m.end()) for m in JWT.finditer(text) if is_token(m[1], m[2])]
+    found += [(m.start(), 4, m.end(3)) for m in TRIPLE.finditer(text) if is_token(m[1], m[2])]
+    found += wrapped_spans(text)
+    if not LONG.search(text):
+        return found
     for m in BASE64.finditer(text):
         kind = key_kind(decoded(m[0]))
         if kind:
@@ -83,6 +92,69 @@ def confirmed_spans(text: str) -> list[Span]:
     return found
 
 
+def wrapped_spans(text: str) -> list[Span]:
+    """Keys in base64 that may run over several lines.  The lengths in a key tell where it ends, so words
+    on the next lines are not taken for a part of it."""
+    found: list[Span] = []
+    for m in WRAPPED.finditer(text):
+        at = m.start()
+        if text[at] == "M":
+            size = der_size(decoded(text[at : at + 16]))
+        else:
+            body = unwrapped(text, at, len(text))[0]
+            size = ssh_size(decoded(body[: len(body) // 4 * 4]))
+        if not size:
+            continue
+        need = -(-size * 4 // 3)
+        body, end = unwrapped(text, at, need)
+        closed = PADDING.match(text, end)
+        kind = key_kind(decoded(body)) if len(body) == need and closed else None
+        if kind:
+            found.append((at, KINDS.index(kind), closed.end()))
+    return found
+
+
+def unwrapped(text: str, at: int, most: int) -> tuple[str, int]:
+    """At most so many characters of base64 from a place on without the breaks in it, and their end."""
+    runs, n, end = [], 0, at
+    while n < most and (run := RUN.match(text, at)):
+        end = min(run.end(), at + most - n)
+        runs.append(text[at:end])
+        n += end - at
+        gap = BREAK.match(text, end)
+        if not gap:
+            break
+        at = gap.end()
+    return "".join(runs), end
+
+
+def der_size(head: bytes) -> int:
+    """The bytes of a DER sequence with its own tag and length; 0 if it is none."""
+    if len(head) < 6 or head[0] != SEQUENCE:
+        return 0
+    if head[1] < 0x80:
+        return 2 + head[1]
+    n = head[1] & 0x7F
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else 0
+
+
+def ssh_size(raw: bytes) -> int:
+    """The bytes of an OpenSSH key up to the end of its private part; 0 if they are not all there."""
+    if not raw.startswith(OPENSSH) or not _fields(raw[len(OPENSSH) :]):
+        return 0
+    at = len(OPENSSH)
+    for _ in range(3):
+        at += 4 + int.from_bytes(raw[at : at + 4], "big")
+    parts = int.from_bytes(raw[at : at + 4], "big") + 1  # the public keys, and the private part
+    at += 4
+    for _ in range(parts):
+        if at + 4 > len(raw):
+            return 0
+        at += 4 + int.from_bytes(raw[at : at + 4], "big")
+    # Up to two bytes of the last quantum may have been cut off.
+    return at if at <= len(raw) + 2 else 0
+
+
 def decoded(written: str, url: bool = False) -> bytes:
     """Base64 of either alphabet with or without padding; nothing if it does not decode."""
     body = written.rstrip("=")
@@ -104,7 +176,11 @@ def is_token(header: str, payload: str) -> bool:
 
 
 def is_pem_body(body: str) -> bool:
-    """A key in base64, perhaps after header lines such as those of an encrypted key."""
+    """A key in base64, perhaps after header lines such as those of an encrypted key.
+
+    Escaped line breaks, as in JSON and in source strings, are line breaks.
+    """
+    body = re.sub(r"\\+[nrt]?", "\n", re.sub(r"\\+/", "/", body))
     lines = [line.strip() for line in body.splitlines()]
     encrypted = any(line.startswith("Proc-Type:") for line in lines)
     raw = decoded("".join(line for line in lines if ":" not in line))

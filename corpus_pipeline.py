@@ -32,12 +32,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays; documents without an id stay."""
+    """One document of each group of near-duplicates stays; documents without an id stay.  Of rows with one
+    id, only those equal in text go."""
     prepare(spark)
     groups = near_duplicates.near_duplicates(docs, size=5, percent=80)
     kept = groups.where("kept and doc_id is not null").select("doc_id").distinct()
     with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return with_id.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(
+    return with_id.dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(
         docs.where(F.col("doc_id").isNull())
     )
 

@@ -93,3 +93,10 @@ def test_sql_gives_the_same(spark, name):
     expect = con.sql(ORACLE[name])
     got = QUERIES[name](spark, folder).select(*expect.columns).collect()
     assert sorted(map(tuple, got)) == sorted(expect.fetchall())
+
+
+def test_near_dedup_keeps_other_texts_of_an_id(spark):
+    rows = [(1, words(1, 30)), (1, words(2, 30)), (1, words(2, 30)), (2, words(2, 30)), (None, words(1, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([rows[0], rows[1], rows[4]], key=repr)

@@ -133,3 +133,32 @@ def test_cuts_cover(n):
         assert start == at and size & (size - 1) == 0
         at += size
     assert at == n
+
+
+def colliding_texts() -> list[str]:
+    """Different texts to which any polynomial hash modulo 2**64 gives one value, as words and in words."""
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    return [one, other, f"{one} {other}", f"x {other} {one} {other}", f" {one}", f" {other}"]
+
+
+def test_colliding_texts_keep_their_tokens(spark, reference, tmp_path):
+    from .conftest import write
+
+    rows = [(i, text, "en", "a") for i, text in enumerate(colliding_texts())]
+    folder = write(tmp_path, rows, [])
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    digests = {r.doc_id: r for r in QUERIES["op7_byte_bpe"](spark, folder).collect()}
+    counts = {r.doc_id: r.n_tokens for r in QUERIES["op9_token_counts"](spark, folder).collect()}
+    packed = {r.doc_id: r.doc_tokens for r in QUERIES["op4_harmonic_packing"](spark, folder).collect()}
+    groups = {r.doc_id: r.component_id for r in QUERIES["op3_superminhash"](spark, folder).collect()}
+    for doc_id, text, *_ in rows:
+        ids = np.array(reference.encode_ordinary(text), "<u4").tobytes()
+        assert digests[doc_id].ids_sha256 == hashlib.sha256(ids).hexdigest()
+        assert digests[doc_id].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert counts[doc_id] == len(pieces.encode(text))
+        assert packed[doc_id] == len(library.encode(text, add_special_tokens=False).ids) + 1
+    assert groups == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0, 5: 1}

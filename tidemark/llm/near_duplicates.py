@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import grouped, per_text, texts
 from .components import components, labels, ordered, stars
-from .pieces import blocks, first_of_each, mix, running_hash, span_hash
+from .pieces import blocks, byte_hash, first_of_each, mix
 
 BANDS = 36
 #: A pair at the threshold may share no band with at most this probability.
@@ -59,7 +59,7 @@ def shingle_sets(encoded: list[bytes], size: int) -> list[np.ndarray]:
     white = np.concatenate([[True], _WHITE[raw], [True]])
     starts = np.flatnonzero(white[:-1] & ~white[1:])
     ends = np.flatnonzero(~white[:-1] & white[1:])
-    words = span_hash(running_hash(raw), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    words = byte_hash(joined, starts, ends)
     text_ends = np.cumsum([len(t) + 1 for t in encoded], dtype=np.int64)
     bounds = np.concatenate([[0], np.searchsorted(starts, text_ends)]).tolist()
     whole = words[: max(0, len(words) - size + 1)]

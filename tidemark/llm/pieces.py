@@ -1,12 +1,13 @@
 """Distinct byte pieces of a batch of texts, found with array operations.
 
 Tokenisers cut texts at places that no token crosses, so equal pieces always give equal tokens.  A batch
-holds each piece many times: pieces are hashed by differences of one running polynomial, and only one of
-each is handed to Python.  Hashes have 64 bits and are compared within a batch only.
+holds each piece many times: pieces are grouped by a 64-bit hash of their bytes, every piece is compared
+with the first of its group byte by byte, and only one of each is handed to Python.
 """
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -16,6 +17,11 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; a longer text is handled alone.
 BLOCK_BYTES = 4 << 20
+#: Spans of more bytes are hashed and compared one by one.
+LONG_SPAN = 256
+
+_ODD = np.uint64(BASE)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -45,6 +51,54 @@ def span_hash(running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((running[ends] - running[starts]) * down[starts])
 
 
+def eights(raw: bytes) -> np.ndarray:
+    """For every position of ``raw`` the eight bytes from there on as one number; zeros follow the end."""
+    padded = np.frombuffer(raw + bytes(8), np.uint8)
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
+def column(view: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each start, of which ``left`` bytes count."""
+    return view[starts] & _MASKS[np.minimum(left, 8)]
+
+
+def byte_hash(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans, eight bytes at a time; for spans of one length up to eight bytes it is one to
+    one.  Very long spans, of which there are few, go by a digest."""
+    view = eights(raw)
+    length = ends - starts
+    h = mix(length.astype(np.uint64) + _ODD)
+    at = np.flatnonzero((length > 0) & (length <= LONG_SPAN))
+    done = 0
+    while len(at):
+        h[at] = mix(h[at] * _ODD + column(view, starts[at] + done, length[at] - done))
+        done += 8
+        at = at[length[at] > done]
+    for i in np.flatnonzero(length > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest()
+        h[i] = int.from_bytes(digest, "little")
+    return h
+
+
+def unlike(raw: bytes, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Places of the spans whose bytes differ from those of the span at the place in ``others``."""
+    length = ends - starts
+    differ = length != length[others]
+    view = eights(raw)
+    at = np.flatnonzero((others != np.arange(len(others))) & ~differ & (length > 0) & (length <= LONG_SPAN))
+    done = 0
+    while len(at):
+        left = length[at] - done
+        same = column(view, starts[at] + done, left) == column(view, starts[others[at]] + done, left)
+        differ[at[~same]] = True
+        done += 8
+        at = at[same & (left > 8)]
+    for i in np.flatnonzero((length > LONG_SPAN) & ~differ).tolist():
+        j = others[i]
+        differ[i] = raw[starts[i] : ends[i]] != raw[starts[j] : ends[j]]
+    return np.flatnonzero(differ)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes."""
     h = h ^ (h >> np.uint64(32))
@@ -118,8 +172,10 @@ def distinct_pieces(encoded: list[bytes], uncut=white_before) -> Pieces:  # noqa
     starts = np.sort(np.concatenate([begun, spaces[~np.isin(spaces, begun)]]), kind="stable")
     bounds = np.searchsorted(starts, np.concatenate([begins, [len(raw)]]))
     stops = np.append(starts[1:], len(raw))
-    hashes = span_hash(running_hash(raw), starts, stops) if len(starts) else np.zeros(0, np.uint64)
-    first, which = first_of_each(hashes)
+    first, which = first_of_each(byte_hash(joined, starts, stops))
+    apart = unlike(joined, starts, stops, first[which])
+    which[apart] = len(first) + np.arange(len(apart))  # of one hash, but other bytes: a piece of its own
+    first = np.concatenate([first, apart])
     s, e = starts[first].tolist(), stops[first].tolist()
     return Pieces([joined[a:b] for a, b in zip(s, e, strict=True)], which, bounds)
 

@@ -13,6 +13,7 @@ from . import (
     line_templates,
     near_duplicates,
     packing,
+    periodic,
     repeats,
     secret_scan,
     token_counts,
@@ -101,3 +102,8 @@ ORACLE["op2_line_templates"] = line_templates.SQL
 @query
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(read(spark, sf_dir, "documents"))

@@ -11,6 +11,7 @@ from . import (
     fingerprints,
     language,
     line_templates,
+    manifest,
     near_duplicates,
     packing,
     periodic,
@@ -107,3 +108,11 @@ def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_merkle_manifest"] = manifest.SQL

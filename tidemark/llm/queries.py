@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     byte_bpe,
+    combination_join,
     fingerprints,
     language,
     line_templates,
@@ -116,3 +117,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_merkle_manifest"] = manifest.SQL
+
+
+@query
+def op11_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combination_join.linked(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_combination_join"] = combination_join.SQL

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import logs as L
 from tidemark.operators.buckets import token_bucket
-from tidemark.streaming import state, tables
+from tidemark.streaming import ledger, state, tables
 
 LOG = "key string, call_id long, ts timestamp, ts_us long, day date, thread_id string, tenant_id string"
 
@@ -57,6 +57,33 @@ def test_token_bucket_stream_equals_batch(spark, tmp_path):
     assert {r.allowed for r in streamed.collect()} == {True, False}
 
 
+def test_hot_bucket_in_slices_equals_batch(spark, tmp_path):
+    """A key with most of the calls is cut into slices in each micro-batch; tokens carry over."""
+    frame = log(spark, 600).withColumn("key", F.when(F.col("key") < "u4", "hot").otherwise(F.col("key")))
+    batch = token_bucket(frame, 3, 900_000_000)
+    write = ledger.bucket_writer(str(tmp_path / "out"), 3, 900_000_000, slice_rows=20, compact_every=2)
+    started = (
+        stream(spark, frame, str(tmp_path), files=5)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{tmp_path}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination(300)
+    streamed = spark.read.parquet(str(tmp_path / "out" / "flags"))
+    columns = ["key", "call_id", "allowed", "tokens"]
+    assert sorted(map(tuple, streamed.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
+    assert {r.allowed for r in streamed.collect()} == {True, False}
+
+
+def test_late_calls_add_no_tokens(spark):
+    """One token in 100 us; the bucket of one was emptied at 1000."""
+    held = spark.createDataFrame([("k", 0, 1000), ("other", 100, 1000)], "key string, tokens long, last_us long")
+    late = spark.createDataFrame([("k", 1, 900), ("k", 2, 1099), ("k", 3, 1100), ("new", 4, 5)], "key string, call_id long, ts_us long")
+    got = {r.call_id: (r.allowed, r.tokens) for r in token_bucket(late, 1, 100, held=held).collect()}
+    assert got == {1: (False, 0), 2: (False, 99), 3: (True, 0), 4: (True, 0)}
+
+
 def test_quota_stream_equals_batch(spark, tmp_path):
     frame = log(spark)
     batch = L.quota_admission(frame, 8, 20, global_day_cap=10**6)

@@ -166,7 +166,7 @@ def _entries(functions: DataFrame, requests: int, window_us: int) -> DataFrame:
             entries = []
             for row in frame.itertuples(index=False):
                 if row.key != key:
-                    key, entry = row.key, full
+                    key, entry = row.key, row.opening
                 else:
                     entry = min(full, tokens + max(row.first_us - last, 0) * requests)
                 entries.append(entry)
@@ -176,28 +176,56 @@ def _entries(functions: DataFrame, requests: int, window_us: int) -> DataFrame:
             yield pd.DataFrame({"key": frame["key"], "slice": frame["slice"], "entry": entries})
 
     return (
-        functions.repartition("key")
+        functions.withColumnRenamed("_opening", "opening")
+        .repartition("key")
         .sortWithinPartitions("key", "slice")
         .mapInPandas(run, f"key {key_type}, slice bigint, entry bigint")
     )
 
 
+def _opened(rows: DataFrame, opening: DataFrame | None, full: int) -> DataFrame:
+    """Add ``_opening``: tokens that the key's first call finds."""
+    if opening is None:
+        return rows.withColumn("_opening", F.lit(full).cast("long"))
+    return rows.join(opening, "key", "left").withColumn("_opening", F.coalesce("_opening", F.lit(full)))
+
+
 def token_bucket(
     log: DataFrame,
     requests: int,
     window_us: int = 60_000_000,
     slice_rows: int = SLICE_ROWS,
     tick_us: int = TICK_US,
+    held: DataFrame | None = None,
 ) -> DataFrame:
-    """Calls (key, call_id, ts_us) with ``allowed`` and the ``tokens`` left, in units."""
+    """Calls (key, call_id, ts_us) with ``allowed`` and the ``tokens`` left, in units.
+
+    ``held`` has for keys with earlier calls the ``tokens`` left by the last one, at ``last_us``.  A call
+    that comes late, before that time, counts at that time and adds no tokens; ``ts_us`` says so.
+    """
     full = requests * window_us
-    calls = slice_log(log.select("key", "call_id", "ts_us"), slice_rows, tick_us)
+    calls = log.select("key", "call_id", "ts_us")
+    opening = None
+    if held is not None:
+        before = held.select("key", F.col("tokens").alias("_held"), F.col("last_us").alias("_last"))
+        calls = calls.join(before, "key", "left").withColumn(
+            "ts_us", F.greatest("ts_us", F.coalesce("_last", "ts_us"))
+        )
+        found = F.col("_held") + (F.col("_first") - F.col("_last")) * requests
+        opening = (
+            calls.filter("_last is not null")
+            .groupBy("key", "_held", "_last")
+            .agg(F.min("ts_us").alias("_first"))
+            .select("key", F.least(F.lit(full), found).alias("_opening"))
+        )
+        calls = calls.drop("_held", "_last")
+    calls = slice_log(calls, slice_rows, tick_us)
     hot = calls.filter("slice > 0").select("key").distinct()
     functions = _slice_functions(calls.join(hot, "key", "left_semi"), requests, window_us)
-    entries = _entries(functions, requests, window_us)
-    started = calls.join(entries, ["key", "slice"], "left").withColumn(
-        "entry", F.coalesce("entry", F.lit(full))
-    )
+    entries = _entries(_opened(functions, opening, full), requests, window_us)
+    started = _opened(calls.join(entries, ["key", "slice"], "left"), opening, full).withColumn(
+        "entry", F.coalesce("entry", "_opening")
+    ).drop("_opening")
     key_type = log.schema["key"].dataType.simpleString()
     id_type = log.schema["call_id"].dataType.simpleString()
 

@@ -72,7 +72,12 @@ def boastful_summary(analyses: DataFrame) -> DataFrame:
     )
 
 
-def analyses(spark: SparkSession, d: str) -> DataFrame:
+def run_analyses(
+    spark: SparkSession,
+    d: str,
+    describe: A.Writer = A.default_description,
+    summarize: A.Writer = boastful_summary,
+) -> DataFrame:
     records = shared_records(spark, d, "part")
     return A.trade_analysis(
         S.requests(spark, d),
@@ -83,7 +88,8 @@ def analyses(spark: SparkSession, d: str) -> DataFrame:
         S.trade_issues(records),
         reporter=S.REPORTER,
         as_of=S.AS_OF,
-        summarize=boastful_summary,
+        describe=describe,
+        summarize=summarize,
     )
 
 
@@ -107,7 +113,7 @@ def trade_analysis(spark: SparkSession, d: str) -> DataFrame:
     def n_rows(table: str):
         return F.when(F.col(table).isNotNull(), F.size(F.col(table)["rows"])).cast("bigint")
 
-    return analyses(spark, d).select(
+    return run_analyses(spark, d).select(
         "request_id",
         "error_code",
         "hs_code",
@@ -134,7 +140,7 @@ def trade_analysis(spark: SparkSession, d: str) -> DataFrame:
 )
 def analysis_document(spark: SparkSession, d: str) -> DataFrame:
     """Fields read back from the written form of each document."""
-    documents = A.analysis_document(analyses(spark, d), PROVENANCE, S.AS_OF)
+    documents = A.analysis_document(run_analyses(spark, d), PROVENANCE, S.AS_OF)
     written = documents.withColumn("json", F.to_json("document"))
 
     def field(path: str):

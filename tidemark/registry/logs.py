@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import logs as L
+from ..operators import quotas as Q
 from ..operators.buckets import token_bucket as bucket_flags
 from ..sources import standin as S
 from .base import query, with_ctes
@@ -95,6 +96,47 @@ def quota_admission(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Threads that every tenant uses on every day.
+SHARED_THREADS = 40
+SHARED_THREAD_LIMIT = 100
+
+
+@query(
+    with_ctes(
+        """log AS (
+          SELECT event_id AS call_id, CAST(ts AS DATE) AS day, CAST(event_id % 40 AS INTEGER) AS thread,
+            CAST(user_id % 5 AS INTEGER) AS tenant, row_number() OVER (ORDER BY epoch_us(ts), event_id) AS n
+          FROM events)""",
+        # One call after the other: counters of all threads, of the day's tenants and of the day.
+        f"""walk(n, day, threads, tenants, total, call_id, decision) AS ( -- RECURSE
+          SELECT 0::BIGINT, NULL::DATE, [0 FOR i IN range({SHARED_THREADS})], [0 FOR i IN range(5)], 0,
+            NULL::BIGINT, NULL::VARCHAR
+          UNION ALL
+          SELECT n, day,
+            CASE WHEN verdict = 'ADMITTED' THEN [threads[i] + CAST(i = thread + 1 AS INTEGER)
+              FOR i IN range(1, {SHARED_THREADS} + 1)] ELSE threads END,
+            CASE WHEN verdict = 'ADMITTED' THEN [tenants[i] + CAST(i = tenant + 1 AS INTEGER)
+              FOR i IN range(1, 6)] ELSE tenants END,
+            total + CAST(verdict = 'ADMITTED' AS INTEGER), call_id, verdict
+          FROM (SELECT *, CASE WHEN threads[thread + 1] >= {SHARED_THREAD_LIMIT} THEN 'THREAD_CAP'
+              WHEN tenants[tenant + 1] >= {TENANT_LIMIT} THEN 'TENANT_DAY_CAP'
+              WHEN total >= {GLOBAL_LIMIT} THEN 'DAY_CAP' ELSE 'ADMITTED' END AS verdict
+            FROM (SELECT o.n, o.day, o.thread, o.tenant, o.call_id, w.threads,
+                CASE WHEN w.day = o.day THEN w.tenants ELSE [0 FOR i IN range(5)] END AS tenants,
+                CASE WHEN w.day = o.day THEN w.total ELSE 0 END AS total
+              FROM walk w JOIN log o ON o.n = w.n + 1)))""",
+        "SELECT call_id, decision FROM walk WHERE call_id IS NOT NULL",
+    )
+)
+def quota_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Threads that run over all days and tenants."""
+    log = S.request_log(spark, d).withColumn(
+        "thread_id", F.concat(F.lit("s"), (F.col("call_id") % SHARED_THREADS).cast("string"))
+    )
+    caps = Q.Caps(SHARED_THREAD_LIMIT, TENANT_LIMIT, GLOBAL_LIMIT)
+    return Q.admit(log, caps).select("call_id", "decision")
+
+
 @query(
     with_ctes(
         LOG,

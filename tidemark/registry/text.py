@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import impact as I
 from ..operators import lexical as B
 from ..sources import standin as S
 from .base import query, with_ctes
@@ -136,15 +137,24 @@ def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(
-    with_ctes(
-        DOCS,
-        BENCH_QUERIES,
-        BM25,
-        "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM lexical WHERE rank <= 30",
-    )
+BM25_TOP = with_ctes(
+    DOCS,
+    BENCH_QUERIES,
+    BM25,
+    "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM lexical WHERE rank <= 30",
 )
+
+
+@query(BM25_TOP)
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     queries = S.search_queries(spark, d)
     index = B.build_index(S.corpus(spark, d), asked=queries)
     return B.bm25_topk(index, queries, 30).withColumn("score", F.round("score", 6))
+
+
+@query(BM25_TOP)
+def bm25_topk_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same result from blocks with largest impacts, without scoring every document."""
+    queries = S.search_queries(spark, d)
+    index = I.build_impact_index(B.build_index(S.corpus(spark, d), asked=queries))
+    return I.impact_topk(index, queries, 30).withColumn("score", F.round("score", 6))

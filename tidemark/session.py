@@ -61,6 +61,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _fallback_dir[0]
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
@@ -68,6 +73,6 @@ def materialize(df: DataFrame) -> DataFrame:
     survives the loss of executors, and each branch reads only its own columns.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -82,8 +82,10 @@ def hybrid_candidates(
     """(query_id, doc_id, fusion_score, position): lexical and vector top lists, fused.
 
     ``query_vectors``: query_id, embedding.  ``vectors``: vec_id (= doc_id), embedding.  Both top
-    lists are short and used twice, for the floor and for the fusion, so they are written once.
+    lists are short and used twice, for the floor and for the fusion, so they are written once.  So are
+    the vectors, which may be computed from texts: the search counts them before it deals them out.
     """
+    query_vectors, vectors = materialize(query_vectors), materialize(vectors)
     lexical = materialize(
         bm25_topk(index, queries, per_source).select("query_id", "doc_id", "rank")
     )

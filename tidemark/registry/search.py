@@ -9,6 +9,7 @@ from ..functions.numeric import l2_normalize as unit
 from ..functions.text import numbered_candidates
 from ..operators import embedding as E
 from ..operators import lexical as B
+from ..operators import pivots as P
 from ..operators import search as H
 from ..operators import similarity as V
 from ..plans.search import hashed_queries
@@ -195,8 +196,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(
-    """WITH sims AS (
+ALL_PAIRS = """WITH sims AS (
       SELECT q.vec_id AS query_id, v.vec_id,
         list_inner_product([x::DOUBLE FOR x IN q.embedding], [x::DOUBLE FOR x IN v.embedding])
           / sqrt(list_inner_product([x::DOUBLE FOR x IN q.embedding], [x::DOUBLE FOR x IN q.embedding]))
@@ -206,7 +206,17 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
       SELECT *, CAST(row_number() OVER (PARTITION BY query_id
         ORDER BY round(similarity, 9) DESC, vec_id) AS INTEGER) AS rank FROM sims)
     WHERE rank <= 10"""
-)
+
+
+@query(ALL_PAIRS)
+def vector_topk_pivots(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector as a query, by cells around pivots that are skipped where they lie too far away."""
+    index = P.build_pivot_index(S.vectors(spark, d))
+    queries = S.vectors(spark, d).withColumnRenamed("vec_id", "query_id")
+    return P.pivot_topk(queries, index, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(ALL_PAIRS)
 def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
     """Every vector as a query against all vectors."""
     queries = S.vectors(spark, d).withColumnRenamed("vec_id", "query_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import hierarchy as N
 from ..operators import requests as R
 from ..operators import taxonomy as X
 from ..sources import standin as S
@@ -87,3 +88,34 @@ def taxonomy_text(spark: SparkSession, d: str) -> DataFrame:
     return X.taxonomy_text(S.taxonomy(spark, d), S.sections(spark, d)).select(
         "code", "taxonomy_text"
     )
+
+
+@query(
+    with_ctes(
+        TAXONOMY,
+        """up(leaf, code) AS ( -- RECURSE
+          SELECT code, code FROM taxonomy
+          UNION ALL SELECT u.leaf, t.parent FROM up u JOIN taxonomy t ON t.code = u.code
+            WHERE t.parent IN (SELECT code FROM taxonomy))""",
+        f"""money AS (
+          SELECT {PART_CODE.format(k="l_partkey")} AS code,
+            sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS value
+          FROM lineitem GROUP BY 1)""",
+        """SELECT u.code, count(*) FILTER (t.level = '6') AS n_leaves,
+          CAST(coalesce(sum(m.value), 0) AS DOUBLE) AS value
+        FROM up u JOIN taxonomy t ON t.code = u.leaf LEFT JOIN money m ON m.code = u.leaf
+        GROUP BY u.code""",
+    )
+)
+def taxonomy_subtree(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves and trade value below every node, by interval labels."""
+    tree = S.taxonomy(spark, d)
+    money = F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)"))
+    sold = S.table(spark, d, "lineitem").groupBy(S.part_code(F.col("l_partkey")).alias("code")).agg(
+        money.alias("value")
+    )
+    values = tree.select("code", (F.col("level") == "6").cast("int").cast("long").alias("n_leaves")).join(
+        sold, "code", "left"
+    )
+    sums = N.totals_below(N.label(tree), values, ["n_leaves", "value"])
+    return sums.withColumn("value", F.col("value").cast("double"))

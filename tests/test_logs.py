@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta
 import pytest
 
 from tidemark.operators import logs as L
+from tidemark.operators import quotas as Q
 from tidemark.operators.buckets import slice_function, token_bucket
 
 
@@ -86,24 +87,6 @@ def log_rows(spark, rows):
     return spark.createDataFrame(out, LOG)
 
 
-def brute_quota(rows, thread_cap, day_cap):
-    threads, tenants, days, out = {}, {}, {}, []
-    for thread, tenant, ts in rows:
-        day = ts.date()
-        if threads.get(thread, 0) + 1 > thread_cap:
-            out.append("THREAD_CAP")
-        elif tenants.get((tenant, day), 0) + 1 > day_cap:
-            out.append("TENANT_DAY_CAP")
-        elif days.get(day, 0) + 1 > day_cap:
-            out.append("DAY_CAP")
-        else:
-            threads[thread] = threads.get(thread, 0) + 1
-            tenants[(tenant, day)] = tenants.get((tenant, day), 0) + 1
-            days[day] = days.get(day, 0) + 1
-            out.append("ADMITTED")
-    return out
-
-
 def random_log(seed, days, per_day=60):
     rng, rows = random.Random(seed), []
     for d in range(days):
@@ -115,17 +98,51 @@ def random_log(seed, days, per_day=60):
     return rows
 
 
+def decided(frame) -> list[str]:
+    return [r.decision for r in sorted(frame.collect(), key=lambda r: r.call_id)]
+
+
+A, T, N, D = "ADMITTED", "THREAD_CAP", "TENANT_DAY_CAP", "DAY_CAP"
+
+
+@pytest.mark.parametrize(
+    ("calls", "caps", "expect"),
+    [
+        ("a1 a1 a1 a2", (2, 9, 9), [A, A, T, A]),
+        ("a1 a2 a3 b1 a1 b1", (9, 2, 9), [A, A, N, A, N, A]),
+        ("a1 b1 a2 b2 c1", (9, 9, 3), [A, A, A, D, D]),
+        # a3 is refused by its tenant, so it has used nothing when its thread is asked again
+        ("a1 a2 a3 a3 b1 b1 b1", (2, 2, 9), [A, A, N, N, A, A, T]),
+        # the thread is full before the day is, the day before the tenant
+        ("a1 a1 b1 b2 a2", (1, 9, 2), [A, T, A, D, D]),
+    ],
+)
+def test_quota_admission_by_hand(spark, calls, caps, expect):
+    """Calls of one day as tenant and number of a thread; caps of threads, tenants and the day."""
+    at = datetime(2024, 1, 1)
+    rows = [(c, c[0], at + timedelta(hours=i)) for i, c in enumerate(calls.split())]
+    thread, tenant, day = caps
+    assert decided(L.quota_admission(log_rows(spark, rows), thread, tenant, global_day_cap=day)) == expect
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_quota_admission_within_a_day(spark, seed):
-    rows = random_log(seed, 1)
-    got = L.quota_admission(log_rows(spark, rows), 4, 15).collect()
-    assert [r.decision for r in sorted(got, key=lambda r: r.call_id)] == brute_quota(rows, 4, 15)
+def test_both_forms_of_quotas_agree_within_a_day(spark, seed):
+    log = log_rows(spark, random_log(seed, 1))
+    got = decided(L.quota_admission(log, 4, 15))
+    assert got == decided(Q.admit(log, Q.Caps(4, 15, 15))) and len(set(got)) == 4
+
+
+def test_both_forms_of_quotas_agree_over_days(spark):
+    log = log_rows(spark, random_log(7, 3))
+    assert decided(L.admit_by_day(log, 9, 20)) == decided(Q.admit(log, Q.Caps(9, 20, 20)))
 
 
-def test_quota_admission_over_days(spark):
-    rows = random_log(7, 3)
-    got = L.admit_by_day(log_rows(spark, rows), 9, 20).collect()
-    assert [r.decision for r in sorted(got, key=lambda r: r.call_id)] == brute_quota(rows, 9, 20)
+def test_refused_calls_change_nothing(spark):
+    rows = random_log(3, 1)
+    got = decided(L.quota_admission(log_rows(spark, rows), 4, 15))
+    kept = [row for row, decision in zip(rows, got, strict=True) if decision == A]
+    assert set(decided(L.quota_admission(log_rows(spark, kept), 4, 15))) == {A}
+    assert len(kept) < len(rows)
 
 
 def test_thread_of_two_tenants_is_refused(spark):

@@ -48,6 +48,7 @@ FACT_CTES = [
         UNION ALL SELECT item_code, count(*) FROM ranked GROUP BY item_code, flow))""",
 ]
 
+# The contexts of a number, as in operators/grounding.
 # DuckDB's patterns have no look-behind: a hyphen between digits becomes a space first.
 SCAN = r"""cut AS (
   SELECT id, item_code, regexp_extract_all(t, '-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?') AS found,

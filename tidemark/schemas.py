@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Upstream field names and those of the dimension and rule files.
 RAW_RECORD = T.StructType(
     [
         T.StructField("reporterCode", T.IntegerType()),

@@ -14,19 +14,21 @@ from tidemark.llm import language, line_templates, near_duplicates, packing, sec
 from tidemark.llm.common import prepare, read
 from tidemark.session import materialize
 
-#: Below this, neither the family nor the language is more likely than not.
+#: Below this, neither the family nor the language is more likely than not.  With few languages every winner
+#: of a vote reaches it, so that in effect only texts without a letter are rejected.
 LEAST_SCORE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identified language go."""
+    """Documents without an identified language go: null and empty texts, and those without a letter.  Rows
+    without an id and repeated rows are judged like any other."""
     prepare(spark)
     return language.keep_identified(docs, LEAST_SCORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copied lines and lines of recurring templates go from all documents but the first; so do documents
-    left empty."""
+    left empty by that.  Null and empty texts stay as they are; rows with one id count as one document."""
     prepare(spark)
     return line_templates.drop_recurring(docs, every=True)
 
@@ -44,13 +46,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark."""
+    """Secrets in texts are replaced by a mark; null texts stay null, and every row stays."""
     prepare(spark)
     return secret_scan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences.  A null text is packed like an empty one,
+    a null id like any other, and repeated rows once each."""
     prepare(spark)
     return packing.pack(docs)
 

@@ -1,5 +1,6 @@
 """Tokenisers against their libraries, packing against the tokenizers library."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -12,7 +13,7 @@ import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
-from tidemark.llm import byte_bpe, packing, token_counts
+from tidemark.llm import byte_bpe, packing, pieces, token_counts
 from tidemark.llm.common import read
 from tidemark.llm.queries import QUERIES
 
@@ -42,6 +43,23 @@ def test_ids_equal_the_rank_library(reference):
         assert bpe.decode(ids) == text.encode()
 
 
+def test_long_texts_in_parts(reference, monkeypatch):
+    """Texts longer than a block are cut where nothing crosses: any block size gives the same."""
+    texts = [*random_texts(300), " ".join(random_texts(200)), "no blanks" * 40, "a  b " * 30]
+    bpe = byte_bpe.codec(byte_bpe.encoder_path())
+    count = token_counts.counter(public_tokenizers.path("piece_bpe_32k.model"))
+    whole, counts = list(bpe.encode_all(texts)), count.count(texts)
+    for size in (7, 40):
+        for module in (byte_bpe, token_counts):
+            monkeypatch.setattr(module, "BLOCK_BYTES", size)
+            monkeypatch.setattr(module, "parts", functools.partial(pieces.parts, size=size))
+            monkeypatch.setattr(module, "blocks", functools.partial(pieces.blocks, size=size))
+        assert list(bpe.encode_all(texts)) == whole
+        assert count.count(texts) == counts
+    for text in texts:
+        assert b"".join(pieces.parts(text.encode(), 9)) == text.encode()
+
+
 def test_spans_cover_split_characters():
     bpe = byte_bpe.codec(byte_bpe.encoder_path())
     text = "a 😀é"

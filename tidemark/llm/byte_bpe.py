@@ -7,8 +7,9 @@ decoding looks every id up in the reversed byte table and joins bytes, so a char
 several tokens comes back whole.  Each token's span in characters is found the same way: a token that
 begins inside a character starts at that character.
 
-Pre-tokens are merged independently, so a text is cut at spaces that follow a non-space (where no
-pre-token can cross) and results are remembered per piece, in caches of bounded size.
+Pre-tokens are merged independently, so texts are cut at spaces that follow a non-space (where no
+pre-token can cross) and a block's new pre-tokens are merged by one call of the library.  What is known is
+kept once per pre-token, up to WORDS_KEPT of them; a text longer than a block is encoded in parts.
 
 Null and empty texts give no ids.  Repeated rows give repeated results.  Any other column is ignored.
 """
@@ -16,6 +17,7 @@ Null and empty texts give no ids.  Repeated rows give repeated results.  Any oth
 from __future__ import annotations
 
 import base64
+import collections
 import functools
 import hashlib
 import itertools
@@ -30,10 +32,11 @@ from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from .common import per_text, texts
-from .pieces import blocks, distinct_pieces, spread
+from .pieces import BLOCK_BYTES, blocks, distinct_pieces, gather, parts
 
 RANKS = "byte_bpe_50k.tiktoken"
-PIECES_KEPT = 300_000
+#: Pre-tokens known at a time: some 150 bytes each.
+WORDS_KEPT = 200_000
 #: From here on, Unicode versions differ in what is a letter; the library's own splitter decides there.
 SETTLED = "Ԁ"
 
@@ -60,6 +63,41 @@ def split_by_rank(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
+#: Kinds of pieces: a space and Latin letters are one pre-token, with a full stop or comma two.
+OTHER, WORD, WORD_AND_STOP = range(3)
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def letters_of(raw: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to an ASCII letter or to one from U+00C0 to U+017F.
+
+    In UTF-8 the latter are the bytes C3 to C5 and one more; C3 97 and C3 B7 are signs.
+    """
+    out = _LETTER[raw]
+    lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC5))
+    after = raw[np.minimum(lead + 1, len(raw) - 1)]
+    lead = lead[(raw[lead] != 0xC3) | ((after != 0x97) & (after != 0xB7))]
+    out[lead] = True
+    out[lead + 1] = True
+    return out
+
+
+def kinds(pieces: list[bytes]) -> np.ndarray:
+    """The kind of each piece."""
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    letters = np.concatenate([[0], np.cumsum(letters_of(raw))])
+    after_space = (sizes > 1) & (raw[starts] == 32)
+    whole = after_space & (letters[ends] - letters[starts + 1] == sizes - 1)
+    last = raw[ends - 1]
+    stop = after_space & (sizes > 2) & ((last == 46) | (last == 44))
+    stop &= letters[ends - 1] - letters[np.minimum(starts + 1, ends - 1)] == sizes - 2
+    return np.where(whole, WORD, np.where(stop, WORD_AND_STOP, OTHER))
+
+
 class ByteBPE:
     """Encoder and decoder for one byte-level vocabulary.
 
@@ -80,8 +118,7 @@ class ByteBPE:
         self.pattern = regex.compile(pattern)
         self.special = special
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.forget()
 
     @classmethod
     def from_ranks(cls, path: str, pattern: str = public_tokenizers.PATTERN) -> ByteBPE:
@@ -115,38 +152,47 @@ class ByteBPE:
             return self.pattern.findall(text)
         return [part for part, _ in self.splitter.pre_tokenize_str(text)]
 
-    def words_of(self, piece: str) -> list[str]:
-        """The pre-tokens of a piece of text that no pre-token leaves."""
-        if piece[0] == " ":
-            if piece[1:].isalpha():
-                return [piece]
-            if piece[-1] in ".," and piece[1:-1].isalpha():
-                return [piece[:-1], piece[-1]]
-        return self.pre_tokens(piece)
-
-    def merge(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct pre-tokens, as little-endian unsigned 32-bit integers."""
-        mapped = [w.encode().decode("latin-1").translate(self.table) for w in words]
-        merged = self.tokenizer.encode_batch_fast(mapped, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in merged)]
-
-    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of distinct pieces; those seen before are remembered."""
-        young, old = self.young, self.old
-        known = [young.get(p) or old.get(p) for p in pieces]
-        new = [p for p, ids in zip(pieces, known, strict=True) if ids is None]
-        split = [self.words_of(p.decode()) for p in new]
-        words = list({w for part in split for w in part})
-        ids = [young.get(k := w.encode()) or old.get(k) for w in words]
-        ask = [w for w, got in zip(words, ids, strict=True) if got is None]
-        by_word = dict(zip(words, ids, strict=True)) | dict(zip(ask, self.merge(ask), strict=True))
-        merged = [b"".join([by_word[w] for w in part]) for part in split]
-        if len(young) > PIECES_KEPT:
-            self.young, self.old = {}, young
-        self.young.update(zip(new, merged, strict=True))
-        self.young.update((w.encode(), by_word[w]) for w in ask)
-        fresh = iter(merged)
-        return [next(fresh) if got is None else got for got in known]
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens in turn, and how many each has; one call of the library for all."""
+        mapped = b"\0".join(words).decode("latin-1").translate(self.table)
+        # No pre-token holds the character that stands for byte 0 unless a text has it.
+        apart = mapped.split(self.table[0])
+        if len(apart) != len(words):
+            apart = [w.decode("latin-1").translate(self.table) for w in words]
+        merged = self.tokenizer.encode(apart, is_pretokenized=True, add_special_tokens=False)
+        owner = np.array(merged.word_ids, np.int64)
+        return np.array(merged.ids, np.uint32), np.bincount(owner, minlength=len(words))
+
+    def ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces in turn, and how many each has; each pre-token is merged once."""
+        if len(self.number) > WORDS_KEPT:
+            self.forget()
+        number, known = self.number, len(self.number)
+        kind = kinds(pieces)
+        word, stop, other = (np.flatnonzero(kind == k) for k in (WORD, WORD_AND_STOP, OTHER))
+        split = [self.pre_tokens(pieces[i].decode()) for i in other.tolist()]
+        counts = np.where(kind == WORD_AND_STOP, 2, 1)
+        counts[other] = [len(words) for words in split]
+        begin = np.cumsum(counts) - counts
+        held = np.empty(int(counts.sum()), np.int64)
+        # A pre-token that is asked for gets the next number if it has none.
+        held[begin[word]] = [number[pieces[i]] for i in word.tolist()]
+        held[begin[stop]] = [number[pieces[i][:-1]] for i in stop.tolist()]
+        held[begin[stop] + 1] = [number[pieces[i][-1:]] for i in stop.tolist()]
+        n = counts[other]
+        at = np.repeat(begin[other] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        held[at] = [number[w.encode()] for words in split for w in words]
+        if len(number) > known:
+            ids, sizes = self.merge(list(itertools.islice(number, known, None)))
+            self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
+        flat, n = gather(self.flat, self.sizes, held)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return flat, np.diff(ends[np.concatenate([begin, [len(held)]])])
+
+    def forget(self) -> None:
+        """Start with no pre-token known."""
+        self.number: dict[bytes, int] = collections.defaultdict(itertools.count().__next__)
+        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode_all(self, batch: list[str]) -> Iterator[bytes]:
         """The ids of each text, four bytes each."""
@@ -155,10 +201,18 @@ class ByteBPE:
             return
         encoded = [text.encode() for text in batch]
         for first, last in blocks(encoded):
-            pieces = distinct_pieces(encoded[first:last])
-            ids, bounds = spread(self.ids_of(pieces.distinct), pieces)
-            for start, end in itertools.pairwise(bounds.tolist()):
-                yield ids[start:end].tobytes()
+            if last - first == 1 and len(encoded[first]) > BLOCK_BYTES:
+                yield b"".join(itertools.chain.from_iterable(self._block([p]) for p in parts(encoded[first])))
+            else:
+                yield from self._block(encoded[first:last])
+
+    def _block(self, encoded: list[bytes]) -> Iterator[bytes]:
+        pieces = distinct_pieces(encoded)
+        flat, sizes = self.ids_of(pieces.distinct)
+        ids, n = gather(flat, sizes, pieces.which)
+        bounds = np.concatenate([[0], np.cumsum(n)])[pieces.bounds]
+        for start, end in itertools.pairwise(bounds.tolist()):
+            yield ids[start:end].astype("<u4").tobytes()
 
     def encode_around(self, text: str) -> bytes:
         """Encode what lies between special strings, and those as their ids."""

@@ -180,16 +180,31 @@ def distinct_pieces(encoded: list[bytes], uncut=white_before) -> Pieces:  # noqa
     return Pieces([joined[a:b] for a, b in zip(s, e, strict=True)], which, bounds)
 
 
-def spread(values: list[bytes], pieces: Pieces, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """All items of a block in text order and, for each text, where they begin (one more at the end).
+def gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of the given entries in turn, and how many each has.
 
-    ``values`` has for each distinct piece its items, ``width`` bytes each, as unsigned integers.
+    ``flat`` holds the items of all entries, ``sizes`` how many of them each entry has.
     """
-    sizes = np.array([len(v) for v in values], np.int64) // width
-    flat = np.frombuffer(b"".join(values), f"<u{width}")
     offsets = np.cumsum(sizes) - sizes
-    n = sizes[pieces.which]
+    n = sizes[which]
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
-    at = np.arange(total) + np.repeat(offsets[pieces.which] - (ends - n), n)
-    return flat[at], np.concatenate([[0], ends])[pieces.bounds]
+    return flat[np.arange(total) + np.repeat(offsets[which] - (ends - n), n)], n
+
+
+def parts(text: bytes, size: int = BLOCK_BYTES, uncut=white_before) -> list[bytes]:  # noqa: ANN001
+    """A text cut into parts of about ``size`` bytes, at spaces where pieces are cut anyway."""
+    out, start = [], 0
+    raw = np.frombuffer(text, np.uint8)
+    while len(text) - start > size:
+        first, cut = start + size, -1
+        while cut < 0 and first < len(text):
+            spaces = first + np.flatnonzero(raw[first : first + size] == 32)
+            spaces = spaces[~uncut(raw, spaces)]
+            cut = int(spaces[0]) if len(spaces) else -1
+            first += size
+        if cut < 0:
+            break
+        out.append(text[start:cut])
+        start = cut
+    return [*out, text[start:]]

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from .common import per_text, texts
-from .pieces import blocks, distinct_pieces, mark_before
+from .pieces import BLOCK_BYTES, blocks, distinct_pieces, mark_before, parts
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -64,12 +64,18 @@ class PieceCounter:
         out: list[int] = []
         encoded = [b" " + text.encode() if text else b"" for text in texts]
         for first, last in blocks(encoded):
-            runs = distinct_pieces(encoded[first:last], mark_before)
-            counts = np.array(self.ask(runs.distinct), np.int64)[runs.which]
-            sums = np.concatenate([[0], np.cumsum(counts)])[runs.bounds]
-            out += np.diff(sums).tolist()
+            if last - first == 1 and len(encoded[first]) > BLOCK_BYTES:
+                own = parts(encoded[first], uncut=mark_before)
+                out.append(sum(n for part in own for n in self._block([part])))
+            else:
+                out += self._block(encoded[first:last])
         return out
 
+    def _block(self, encoded: list[bytes]) -> list[int]:
+        runs = distinct_pieces(encoded, mark_before)
+        counts = np.array(self.ask(runs.distinct), np.int64)[runs.which]
+        return np.diff(np.concatenate([[0], np.cumsum(counts)])[runs.bounds]).tolist()
+
 
 @functools.lru_cache(maxsize=2)
 def counter(path: str) -> PieceCounter:

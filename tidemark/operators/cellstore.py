@@ -76,7 +76,8 @@ class CellStore:
         except AnalysisException:
             return 0, []
         last = log.agg(F.max("commit")).first()[0] or 0
-        return last, log.filter(F.col("commit") == last).select("flow", "year", "version").collect()
+        own = log.filter((F.col("commit") == last) & F.col("version").isNotNull())
+        return last, own.select("flow", "year", "version").collect()
 
     def _folder(self, row) -> str:  # noqa: ANN001
         return f"{self.path}/cells/version={row.version}/flow={row.flow}/year={row.year}"
@@ -119,7 +120,9 @@ class CellStore:
         return sorted(touched)
 
     def _commit(self, number: int, rows: list[tuple]) -> None:
-        log = self.spark.createDataFrame(rows, "flow string, year int, version string").coalesce(1)
+        # A row of nulls, so that a commit without any partition is one too.
+        schema = "flow string, year int, version string"
+        log = self.spark.createDataFrame([*rows, (None, None, None)], schema).coalesce(1)
         try:
             log.write.mode("errorifexists").parquet(f"{self.path}/commits/commit={number}")
         except AnalysisException as error:

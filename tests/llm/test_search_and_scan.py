@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from tidemark.llm import fingerprints, language, secret_scan
 from tidemark.llm.common import read
 from tidemark.llm.queries import QUERIES
 
-from .conftest import awkward_rows, vectors, words
+from .conftest import awkward_rows, vectors, words, write
 
 
 def test_syncmers_equal_their_definition():
@@ -194,6 +195,89 @@ def test_keys_written_in_other_ways(before, secret, after, kind):
     assert secret_scan.redacted(before + secret + after) == before + "[SECRET]" + after
 
 
+def der(tag: int, content: bytes) -> bytes:
+    size = len(content).to_bytes(2, "big")
+    return bytes([tag, 0x82]) + size + content
+
+
+def test_encrypted_keys_without_a_frame_and_the_other_alphabet():
+    by_password = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b""))
+    hashed = der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b""))
+    key = der(0x30, by_password + der(4, bytes(range(200))))
+    other = der(0x30, hashed + der(4, bytes(32)))  # a digest of something, no key
+    assert secret_scan.joined(secret_scan.spans(f"x {b64(key)} y")[1]) == f"der:2:{2 + len(b64(key))}"
+    assert secret_scan.spans(f"x {b64(other)} y")[1] == []
+    plain = der(0x30, der(2, b"\x00") + b"".join(der(2, bytes([251 + k % 5]) * 90) for k in range(8)))
+    url = base64.urlsafe_b64encode(plain).decode().rstrip("=")
+    assert "-" in url or "_" in url
+    assert f"der:2:{2 + len(url)}" in secret_scan.joined(secret_scan.spans(f"x {url} y")[1]).split(",")
+
+
+@pytest.mark.parametrize("head", [b64(SSH)[:60], "MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7", "MIIEvQIBADANBgkq"])
+def test_many_lines_that_start_like_keys_take_linear_time(head):
+    """Quadratic work would take minutes here."""
+    start = time.process_time()
+    secret_scan.spans(f"{head}\n" * 20_000)
+    assert time.process_time() - start < 20
+
+
+def naive_base(text: str) -> list[str]:
+    """The base kinds by the letter of the contract, a character at a time."""
+    out, alnum = [], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def run(at: int, allowed: str) -> int:
+        while at < len(text) and text[at] in allowed:
+            at += 1
+        return at
+
+    def assign(at: int) -> int | None:
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            own = text[at : at + len(word)]
+            if own.isascii() and own.lower() == word:
+                end = at + len(word)
+                end += text[end : end + 1] in ("'", '"') and len(text) > end
+                end = run(end, " ")
+                if text[end : end + 1] not in (":", "="):
+                    continue
+                end = run(end + 1, " ")
+                # A quote may be left out, but is never a part of the value.
+                end += text[end : end + 1] in ("'", '"') and len(text) > end
+                stop = run(end, alnum + "+/_.=-")
+                if stop > end:
+                    return stop if stop - end >= 6 else -stop
+        return None
+
+    at = 0
+    while at < len(text):
+        end = assign(at)
+        if end and end > 0:
+            out.append((at, 0, end))
+        at = abs(end) if end else at + 1
+    for kind, first, allowed, least in ((1, "AKIA", alnum[:26] + alnum[52:], 20), (2, "", "0123456789abcdef", 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(first), allowed) if text.startswith(first, at) else at
+            if end > at + len(first):
+                if end - at >= least:
+                    out.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return [f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(out)]
+
+
+def test_query_equals_a_naive_scan(spark, tmp_path):
+    draw = random.Random(12)
+    bits = ["password", "Secret", "api_key", "apikey", "TOKEN", "=", ": ", "'", '"', "  ", "abcdef0123456789", "AKIA", "ABCDEFGH01234567", "x.y-z", "\n", "é", "K", "ab12", "="]
+    rows = [(i, "".join(draw.choices(bits, k=draw.randint(0, 14))), "en", "a") for i in range(400)]
+    for row in QUERIES["op10_secret_scan"](spark, write(tmp_path, rows, [])).collect():
+        expect = naive_base(rows[row.doc_id][1])
+        counts = tuple(sum(x.startswith(k) for x in expect) for k in ("assign", "access", "hex"))
+        assert (row.n_assign, row.n_access, row.n_hex) == counts, rows[row.doc_id][1]
+        assert row.base_sha256 == hashlib.sha256(",".join(expect).encode()).hexdigest()
+        assert set(expect) <= set(row.spans.split(","))
+
+
 def test_lines_of_base64_that_are_no_key():
     for text in (folded(WRAPPED[:-1], "\n"), folded(b"0\x82\x01\x00" + b"x" * 300, "\n"), f"{'M' * 20}\n{'b' * 20}"):
         assert secret_scan.spans(text)[1] == []

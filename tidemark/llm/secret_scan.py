@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -34,6 +35,10 @@ HEX = re.compile(r"[0-9a-f]+")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 OPENSSH = b"openssh-key-v1\x00"
+#: The identifiers of encryption by password all begin so.
+BY_PASSWORD = bytes([0x2A, 0x86, 0x48, 0x86, 0xF7, 0x0D, 0x01, 0x05])
+#: More elements or public keys than any key has.
+MOST_ELEMENTS, MOST_KEYS = 64, 1000
 #: The order of kinds that start at the same character.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
 
@@ -51,6 +56,9 @@ BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[Mb][A-Za-z0-9+/]{39,}={0,2}")
 WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?=M[A-Za-z0-9+/]{15}|b3BlbnNzaC1rZXktdjEA)")
 RUN = re.compile(r"[A-Za-z0-9+/]+")
 BREAK = re.compile(r"(?:[ \t]*(?:\\+[nrt]|[\r\n]))+[ \t]*")
+SECTION = re.compile(f"{RUN.pattern}(?:{BREAK.pattern}{RUN.pattern})*")
+# Base64 in the alphabet for addresses, with one of its own two characters.
+URL64 = re.compile(r"(?<![A-Za-z0-9_-])[Mb](?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{39,}={0,2}")
 PADDING = re.compile(r"(?:(?:[ \t]*(?:\\+[nrt]|[\r\n]))*[ \t]*={1,2})?(?![A-Za-z0-9+/])")
 HEX_DER = re.compile(r"(?<![0-9a-fA-F])30[0-9a-fA-F]{62,}")
 
@@ -86,46 +94,123 @@ def confirmed_spans(text: str) -> list[Span]:
         kind = key_kind(decoded(m[0]))
         if kind:
             found.append((m.start(), KINDS.index(kind), m.end()))
+    for m in URL64.finditer(text):
+        kind = key_kind(decoded(m[0], url=True))
+        if kind:
+            found.append((m.start(), KINDS.index(kind), m.end()))
     for m in HEX_DER.finditer(text):
         if len(m[0]) % 2 == 0 and key_kind(bytes.fromhex(m[0])) == "der":
             found.append((m.start(), KINDS.index("der"), m.end()))
     return found
 
 
+class Section:
+    """Base64 over one or several lines: its characters without the breaks, and where each line begins."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.places, self.offsets, n = [], [], 0
+        kept, at = [], start
+        while run := RUN.match(text, at, end):
+            self.places.append(at)
+            self.offsets.append(n)
+            kept.append(run[0])
+            n += len(run[0])
+            gap = BREAK.match(text, run.end(), end)
+            if not gap:
+                break
+            at = gap.end()
+        self.start, self.end, self.body = start, end, "".join(kept)
+
+    def offset(self, place: int) -> int:
+        k = bisect.bisect_right(self.places, place) - 1
+        return self.offsets[k] + place - self.places[k]
+
+    def place(self, offset: int) -> int:
+        k = bisect.bisect_right(self.offsets, offset) - 1
+        return self.places[k] + offset - self.offsets[k]
+
+    def bytes_at(self, offset: int, first: int, n: int) -> bytes:
+        """Up to ``n`` bytes of what is written from ``offset`` on, beginning with byte ``first``."""
+        quantum = first // 3
+        end = -(-(first + n) // 3)
+        return decoded(self.body[offset + 4 * quantum : offset + 4 * end])[first - 3 * quantum :][:n]
+
+
 def wrapped_spans(text: str) -> list[Span]:
     """Keys in base64 that may run over several lines.  The lengths in a key tell where it ends, so words
-    on the next lines are not taken for a part of it."""
+    on the next lines are not taken for a part of it.
+
+    Every section is joined once; a candidate reads the few bytes that hold lengths, and only one whose
+    lengths fill each other is decoded.
+    """
     found: list[Span] = []
+    section, sections = None, None
     for m in WRAPPED.finditer(text):
         at = m.start()
-        if text[at] == "M":
-            size = der_size(decoded(text[at : at + 16]))
-        else:
-            body = unwrapped(text, at, len(text))[0]
-            size = ssh_size(decoded(body[: len(body) // 4 * 4]))
-        if not size:
-            continue
+        if sections is None:
+            sections = SECTION.finditer(text)
+        while section is None or section.end <= at:
+            span = next(sections)
+            if span.end() > at:
+                section = Section(text, span.start(), span.end())
+        offset = section.offset(at)
+        size = der_extent(section, offset) if text[at] == "M" else ssh_extent(section, offset)
         need = -(-size * 4 // 3)
-        body, end = unwrapped(text, at, need)
-        closed = PADDING.match(text, end)
-        kind = key_kind(decoded(body)) if len(body) == need and closed else None
+        if not size or need > len(section.body) - offset:
+            continue
+        closed = PADDING.match(text, section.place(offset + need - 1) + 1)
+        kind = key_kind(decoded(section.body[offset : offset + need])) if closed else None
         if kind:
             found.append((at, KINDS.index(kind), closed.end()))
     return found
 
 
-def unwrapped(text: str, at: int, most: int) -> tuple[str, int]:
-    """At most so many characters of base64 from a place on without the breaks in it, and their end."""
-    runs, n, end = [], 0, at
-    while n < most and (run := RUN.match(text, at)):
-        end = min(run.end(), at + most - n)
-        runs.append(text[at:end])
-        n += end - at
-        gap = BREAK.match(text, end)
-        if not gap:
-            break
-        at = gap.end()
-    return "".join(runs), end
+def der_extent(section: Section, offset: int) -> int:
+    """The bytes of a DER sequence with few elements that fill it exactly; 0 if there is none."""
+    size = der_size(section.bytes_at(offset, 0, 6))
+    if not size or size * 4 > 3 * (len(section.body) - offset) + 8:
+        return 0
+    head = section.bytes_at(offset, 1, 1)[0]
+    at = 2 + (head & 0x7F if head >= 0x80 else 0)
+    for _ in range(MOST_ELEMENTS):
+        own = section.bytes_at(offset, at, 6)
+        if len(own) < 2 or (own[1] >= 0x80 and not 1 <= own[1] & 0x7F <= min(4, len(own) - 2)):
+            return 0
+        wide = own[1] & 0x7F if own[1] >= 0x80 else 0
+        at += 2 + wide + (int.from_bytes(own[2 : 2 + wide], "big") if wide else own[1])
+        if at >= size:
+            return size if at == size else 0
+    return 0
+
+
+def ssh_extent(section: Section, offset: int) -> int:
+    """The bytes of an OpenSSH key up to the end of its private part; 0 if they are not all there."""
+    there = (len(section.body) - offset) // 4 * 3
+    at = len(OPENSSH)
+    if section.bytes_at(offset, 0, at) != OPENSSH:
+        return 0
+
+    def number() -> int | None:
+        own = section.bytes_at(offset, at, 4) if at + 4 <= there else b""
+        return int.from_bytes(own, "big") if len(own) == 4 else None
+
+    left = 3  # cipher, derivation and options
+    while left:
+        size = number()
+        if size is None:
+            return 0
+        at, left = at + 4 + size, left - 1
+    keys = number()
+    if keys is None or not 1 <= keys <= MOST_KEYS:
+        return 0
+    at += 4
+    for _ in range(keys + 1):  # the public keys, and the private part
+        size = number()
+        if size is None:
+            return 0
+        at += 4 + size
+    # Up to two bytes of the last quantum may have been cut off.
+    return at if at <= there + 2 else 0
 
 
 def der_size(head: bytes) -> int:
@@ -138,23 +223,6 @@ def der_size(head: bytes) -> int:
     return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else 0
 
 
-def ssh_size(raw: bytes) -> int:
-    """The bytes of an OpenSSH key up to the end of its private part; 0 if they are not all there."""
-    if not raw.startswith(OPENSSH) or not _fields(raw[len(OPENSSH) :]):
-        return 0
-    at = len(OPENSSH)
-    for _ in range(3):
-        at += 4 + int.from_bytes(raw[at : at + 4], "big")
-    parts = int.from_bytes(raw[at : at + 4], "big") + 1  # the public keys, and the private part
-    at += 4
-    for _ in range(parts):
-        if at + 4 > len(raw):
-            return 0
-        at += 4 + int.from_bytes(raw[at : at + 4], "big")
-    # Up to two bytes of the last quantum may have been cut off.
-    return at if at <= len(raw) + 2 else 0
-
-
 def decoded(written: str, url: bool = False) -> bytes:
     """Base64 of either alphabet with or without padding; nothing if it does not decode."""
     body = written.rstrip("=")
@@ -234,8 +302,12 @@ def key_kind(raw: bytes) -> str | None:
     if raw.startswith(OPENSSH):
         return "ssh" if _fields(raw[len(OPENSSH) :]) else None
     inner = _sequence(raw)
-    if not inner or len(inner) < 2 or inner[0][0] != INTEGER:
+    if not inner or len(inner) < 2:
         return None
+    if inner[0][0] != INTEGER:
+        # Without a frame around it, an encrypted key must name an encryption by password.
+        algorithm = elements(inner[0][1]) if is_encrypted_der(raw) else None
+        return "der" if algorithm and algorithm[0][1].startswith(BY_PASSWORD) else None
     tags = [t for t, _ in inner]
     plain = tags[1] == OCTETS and inner[0][1] == b"\x01"  # version 1, then the key
     numbers = len(tags) >= 6 and all(t == INTEGER for t in tags[:6])  # moduli, exponents, primes
@@ -250,7 +322,7 @@ def _fields(raw: bytes) -> bool:
         if at + 4 > len(raw):
             return False
         at += 4 + int.from_bytes(raw[at : at + 4], "big")
-    return at + 4 <= len(raw) and 1 <= int.from_bytes(raw[at : at + 4], "big") <= 1000
+    return at + 4 <= len(raw) and 1 <= int.from_bytes(raw[at : at + 4], "big") <= MOST_KEYS
 
 
 def spans(text: str) -> tuple[list[Span], list[Span]]:

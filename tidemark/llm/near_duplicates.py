@@ -212,7 +212,7 @@ def links(
     return components(edges.union(more))
 
 
-def open_cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def open_cells(rows: DataFrame, sets: DataFrame, cell: int = CELL) -> DataFrame:
     """cell, outside, component, shingles: what is still to be compared, in blocks of bounded size.
 
     In each open bucket all members outside its largest component meet all members.  Both are dealt into
@@ -225,8 +225,8 @@ def open_cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
         .select(
             "band",
             F.col("main.component").alias("main"),
-            F.ceil((F.col("all") - F.col("main.size")) / CELL).alias("outer"),
-            F.ceil(F.col("all") / CELL).alias("inner"),
+            F.ceil((F.col("all") - F.col("main.size")) / cell).alias("outer"),
+            F.ceil(F.col("all") / cell).alias("inner"),
         )
     )
     placed = rows.join(shape, "band")

@@ -144,3 +144,12 @@ def test_last_entry_wins_and_lookup_keeps_unknown(spark):
     latest = X.latest_entries(rows, "seq")
     keys = spark.createDataFrame([("1",), ("2",)], "code string")
     assert {(r.code, r.description) for r in X.lookup(keys, latest).collect()} == {("1", "new"), ("2", None)}
+
+
+def test_texts_are_parsed_once_behind_a_filter(spark):
+    """A filter on the reasons does not put the parsers in place of every use of their result."""
+    frame = spark.createDataFrame([(1, json.dumps(body())), (2, "{"), (3, None)], "request_id int, raw string")
+    valid = R.resolve_windows(R.validate_requests(frame, AS_OF).filter("size(reasons) = 0"), AS_OF)
+    plan = valid._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2 and plan.count("parseJson") == 1
+    assert [(r.request_id, r.year_start, r.year_end) for r in valid.collect()] == [(1, 2019, 2023)]

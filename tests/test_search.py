@@ -52,6 +52,16 @@ def test_bm25_ties_in_document_order_and_stored_index(spark, tmp_path):
     assert [r.doc_id for r in top.orderBy("rank").collect()] == [2, 5]
 
 
+def test_bm25_tasks_grow_with_the_joined_rows(spark, monkeypatch):
+    """Few postings asked for by many queries are many rows: their number decides how many tasks add them up."""
+    monkeypatch.setattr(B, "PARTS_A_TASK", 4)
+    index = B.materialize_index(B.build_index(docs(spark, [(i, "x y") for i in range(8)])))
+    scores = B.bm25_scores(index, queries(spark, [(q, "x") for q in range(3)]))
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert ", 6), REPARTITION_BY_NUM" in plan and "hashpartitioning(query_id" not in plan
+    assert scores.count() == 24
+
+
 def test_empty_corpus(spark):
     stats = B.corpus_stats(docs(spark, [])).first()
     assert (stats.n_docs, stats.avgdl) == (0, 0.0)

@@ -24,6 +24,9 @@ B = 0.75
 # cluster can never change a ranking.
 SCORE_DIGITS = 9
 
+#: Scores of a query's term in a document that one task adds up, on average; its groups stay in memory.
+PARTS_A_TASK = 2 << 20
+
 
 @dataclass(frozen=True)
 class LexicalIndex:
@@ -41,6 +44,13 @@ def _postings(documents: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
     return words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _terms(postings: DataFrame) -> DataFrame:
+    # Written over the tf column, so that both uses of the postings share one shuffle.
+    return postings.groupBy("term").agg(
+        F.sum(F.when(F.col("tf") > 0, F.lit(1)).otherwise(F.lit(0))).alias("df")
+    )
+
+
 def corpus_stats(documents: DataFrame) -> DataFrame:
     """Number of documents and mean length over all of them, empty ones included."""
     return documents.select(F.size(tokens(F.coalesce("text", F.lit("")))).alias("dl")).agg(
@@ -55,16 +65,16 @@ def build_index(documents: DataFrame, asked: DataFrame | None = None) -> Lexical
     """
     vocabulary = None if asked is None else query_terms(asked).select("term").distinct()
     postings = _postings(documents, vocabulary)
-    # Written over the tf column, so that both uses of the postings share one shuffle.
-    terms = postings.groupBy("term").agg(
-        F.sum(F.when(F.col("tf") > 0, F.lit(1)).otherwise(F.lit(0))).alias("df")
-    )
-    return LexicalIndex(postings, terms, corpus_stats(documents))
+    return LexicalIndex(postings, _terms(postings), corpus_stats(documents))
 
 
 def materialize_index(index: LexicalIndex) -> LexicalIndex:
-    """The index written once in the shared folder, for plans that use it in several places."""
-    return LexicalIndex(*(materialize(f) for f in (index.postings, index.terms, index.corpus)))
+    """The index written once in the shared folder, for plans that use it in several places.
+
+    Terms are counted in the written postings, so that no text is tokenised again for them.
+    """
+    postings = materialize(index.postings)
+    return LexicalIndex(postings, materialize(_terms(postings)), materialize(index.corpus))
 
 
 def write_index(index: LexicalIndex, path: str) -> None:
@@ -94,18 +104,23 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     corpus = index.corpus.select(F.struct("n_docs", "avgdl")).scalar()
     n_docs, avgdl = corpus["n_docs"], corpus["avgdl"]
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = query_terms(queries).join(index.terms, "term").select(
-        "query_id", "term", (F.col("weight") * idf).alias("wi")
+    # Written, so that its size is known: a small one is broadcast and leaves the postings where they are.
+    weighted = materialize(
+        query_terms(queries)
+        .join(index.terms, "term")
+        .select("query_id", "term", "df", (F.col("weight") * idf).alias("wi"))
     )
     tf = F.col("tf")
     part = F.col("wi") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
     # Postings are dealt out by document before the join: each document meets its queries in one
     # place, so the joined rows, one per query and shared term, are summed up without a shuffle.
+    # Their number, not the size of the postings, says how many tasks that takes.
+    joined = weighted.agg(F.sum("df")).first()[0] or 0
     by_document = index.postings.join(
         weighted.select("term").distinct(), "term", "left_semi"
-    ).repartition("doc_id")
+    ).repartition(max(1, -(-joined // PARTS_A_TASK)), "doc_id")
     return (
-        by_document.join(weighted, "term")
+        by_document.join(weighted.drop("df"), "term")
         .groupBy("query_id", "doc_id")
         .agg(F.sum(part).alias("score"))
     )

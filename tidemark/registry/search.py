@@ -131,7 +131,7 @@ def rewrites(spark: SparkSession, d: str) -> DataFrame:
 
 def bench_candidates(spark: SparkSession, d: str) -> DataFrame:
     queries = S.search_queries(spark, d)
-    index = B.build_index(S.corpus(spark, d), asked=queries)
+    index = B.materialize_index(B.build_index(S.corpus(spark, d), asked=queries))
     return H.hybrid_candidates(queries, hashed_queries(queries), index, doc_vectors(spark, d))
 
 
@@ -323,7 +323,7 @@ def hybrid_candidates(spark: SparkSession, d: str) -> DataFrame:
 def code_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Nearest documents checked against the lexical candidates of their query."""
     queries = S.search_queries(spark, d)
-    index = B.build_index(S.corpus(spark, d), asked=queries)
+    index = B.materialize_index(B.build_index(S.corpus(spark, d), asked=queries))
     candidates = materialize(B.bm25_topk(index, queries, 30).select("query_id", "doc_id"))
     returned = materialize(
         V.vector_topk(hashed_queries(queries), doc_vectors(spark, d), 8).select(

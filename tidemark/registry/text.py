@@ -148,7 +148,7 @@ BM25_TOP = with_ctes(
 @query(BM25_TOP)
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     queries = S.search_queries(spark, d)
-    index = B.build_index(S.corpus(spark, d), asked=queries)
+    index = B.materialize_index(B.build_index(S.corpus(spark, d), asked=queries))
     return B.bm25_topk(index, queries, 30).withColumn("score", F.round("score", 6))
 
 
@@ -156,5 +156,5 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def bm25_topk_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The same result from blocks with largest impacts, without scoring every document."""
     queries = S.search_queries(spark, d)
-    index = I.build_impact_index(B.build_index(S.corpus(spark, d), asked=queries))
+    index = I.build_impact_index(B.materialize_index(B.build_index(S.corpus(spark, d), asked=queries)))
     return I.impact_topk(index, queries, 30).withColumn("score", F.round("score", 6))

@@ -66,3 +66,15 @@ def test_fewer_vectors_than_wanted_none_and_stored(spark, tmp_path):
     P.write_pivot_index(index, str(tmp_path))
     assert rows_of(P.pivot_topk(asked, P.read_pivot_index(spark, str(tmp_path)), 2)) == rows_of(vector_topk(asked, stored, 2))
     assert P.pivot_topk(asked, P.build_pivot_index(stored.limit(0)), 3).count() == 0
+
+
+def test_queries_travel_once_to_a_group_of_cells(spark, monkeypatch):
+    """A query that wants many cells of a group is one row there, and groups of several slices lose nothing."""
+    vectors = clustered(5, 300, spread=2.0)
+    asked, stored = frames(spark, vectors[:40], vectors)
+    index = P.build_pivot_index(stored, 30)
+    cells = P.Cells(index.cells.collect())
+    sent = P._sent(asked, lambda q, _: np.ones((len(q), 30), bool), P._groups(cells, 100))
+    assert sent.count() == 40 * len(set(P._groups(cells, 100))) <= 40 * 4
+    monkeypatch.setattr(P, "PART_ROWS", 7)
+    assert rows_of(P.pivot_topk(asked, index, 9)) == rows_of(vector_topk(asked, stored, 9))

@@ -10,7 +10,8 @@ q to that range, which bounds its similarity.  So
 
 The result is that of comparing all pairs; how many pairs are compared depends on how well the vectors
 cluster.  Cells are dealt into parts of bounded size, so a cell with a third of all vectors is no larger a
-task than any other.
+task than any other.  Cells travel in groups: a query is sent once to each group that has a cell for it, not
+once to each cell, and the task skips the group's other cells.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import l2_normalize
@@ -32,6 +34,10 @@ from .similarity import _cell_topk, _matrix
 MOST_PIVOTS = 512
 #: Vectors in a part of a cell, and queries compared with it at a time, on average.
 PART_ROWS = 4096
+#: Vectors in a group of cells, and queries sent to it at a time: a share of the table, so that many tasks
+#: work, between PART_ROWS and so many bytes.
+GROUP_SHARE = 12
+GROUP_BYTES = 64 << 20
 #: Angles are compared with this much room for rounding; it is far above the error of a product.
 ROOM = 1e-6
 
@@ -159,13 +165,19 @@ def read_pivot_index(spark: SparkSession, path: str) -> PivotIndex:
     return PivotIndex(vectors.withColumn("cell", F.col("cell").cast("long")), cells)
 
 
-def _chosen(rows: DataFrame, choose: Callable[[np.ndarray, np.ndarray | None], np.ndarray], cells: Cells) -> DataFrame:
+Choose = Callable[[np.ndarray, "np.ndarray | None"], np.ndarray]
+
+
+def _least(batch: pa.RecordBatch | pa.Table) -> np.ndarray | None:
+    return batch["s"].to_numpy() if "s" in batch.schema.names else None
+
+
+def _chosen(rows: DataFrame, choose: Choose, cells: Cells) -> DataFrame:
     """(query_id, cell) of the cells chosen for each of (query_id, embedding[, s])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least = batch.column("s").to_numpy() if "s" in batch.schema.names else None
-            q, c = np.nonzero(choose(_matrix(batch.column("embedding")), least))
+            q, c = np.nonzero(choose(_matrix(batch.column("embedding")), _least(batch)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("query_id").take(pa.array(q)), pa.array(cells.cell[c])], names=["query_id", "cell"]
             )
@@ -173,10 +185,33 @@ def _chosen(rows: DataFrame, choose: Callable[[np.ndarray, np.ndarray | None], n
     return rows.mapInArrow(run, f"query_id {rows.schema['query_id'].dataType.simpleString()}, cell long")
 
 
-def _search(queries: DataFrame, wanted: DataFrame, index: PivotIndex, k: int) -> DataFrame:
-    """Best ``k`` of each part of the wanted (query_id, cell): query_id, vec_id, similarity, rounded."""
+def _groups(cells: Cells, rows: int) -> np.ndarray:
+    """Group of each cell: neighbours in order, until a group has about ``rows`` vectors."""
+    return (np.cumsum(cells.n) - cells.n) // rows
+
+
+def _sent(rows: DataFrame, choose: Choose, group: np.ndarray) -> DataFrame:
+    """The rows, once for each group that holds a cell chosen for them."""
+    n_groups = int(group.max()) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = choose(_matrix(batch.column("embedding")), _least(batch))
+            for g in range(n_groups):
+                some = batch.take(pa.array(np.nonzero(wanted[:, group == g].any(axis=1))[0]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), g, np.int64)), *some.columns], names=["group", *some.schema.names]
+                )
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"group long, {fields}")
+
+
+def _search(rows: DataFrame, choose: Choose, cells: Cells, index: PivotIndex, k: int) -> DataFrame:
+    """Best ``k`` of each group's chosen cells for (query_id, embedding[, s]): query_id, vec_id, similarity,
+    rounded."""
     schema = (
-        f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
+        f"query_id {rows.schema['query_id'].dataType.simpleString()}, "
         f"vec_id {index.vectors.schema['vec_id'].dataType.simpleString()}, similarity double, rounded double"
     )
     no_score = pa.array([], pa.float64())
@@ -185,32 +220,70 @@ def _search(queries: DataFrame, wanted: DataFrame, index: PivotIndex, k: int) ->
         if not len(asked) or not len(stored):
             none = pa.table({"query_id": asked["query_id"][:0], "vec_id": stored["vec_id"][:0]})
             return none.append_column("similarity", no_score).append_column("rounded", no_score)
-        return _cell_topk(asked, stored, k)
-
-    # Each part of a cell meets the cell's queries in blocks; a vector is sent once for each block.
-    asked = wanted.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("blocks"))
-    parts = index.cells.select("cell", F.ceil(F.col("n") / PART_ROWS).alias("parts"))
-    left = (
-        wanted.join(asked, "cell")
-        .join(parts, "cell")
-        .join(queries, "query_id")
-        .select(
-            "cell",
-            F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
-            "query_id",
-            "embedding",
+        least = _least(asked)
+        wanted = np.concatenate(
+            [
+                choose(_matrix(asked["embedding"][i : i + PART_ROWS]), None if least is None else least[i : i + PART_ROWS])
+                for i in range(0, len(asked), PART_ROWS)
+            ]
         )
+        numbered = pa.table({"query_id": pa.array(np.arange(len(asked))), "embedding": asked["embedding"]})
+        of_cell = stored["cell"].to_numpy()
+        found = []
+        for at in np.searchsorted(cells.cell, np.unique(of_cell)):
+            own = stored.take(pa.array(np.nonzero(of_cell == cells.cell[at])[0]))
+            some = numbered.take(pa.array(np.nonzero(wanted[:, at])[0]))
+            if len(some):
+                found.append(_cell_topk(some, own, k))
+        if not found:
+            return compare(asked[:0], stored)
+        merged = pa.concat_tables(found)
+        order = [("query_id", "ascending"), ("rounded", "descending"), ("vec_id", "ascending")]
+        merged = merged.take(pc.sort_indices(merged, order))
+        row = merged["query_id"].to_numpy()
+        best = merged.filter(pa.array(np.arange(len(row)) - np.searchsorted(row, row) < k))
+        return best.set_column(0, "query_id", asked["query_id"].take(best["query_id"]))
+
+    # A slice of a group meets the group's queries in blocks; a vector is sent once for each block.
+    n = max(int(cells.n.sum()), rows.count())
+    size = max(PART_ROWS, min(-(-n // GROUP_SHARE), GROUP_BYTES // (8 * max(1, cells.pivot.shape[1]))))
+    group = _groups(cells, size)
+    slices = np.ceil(np.bincount(group, cells.n) / size).astype(int)
+    sent = _sent(rows, choose, group)
+    counted = {r.group: r["count"] for r in sent.groupBy("group").count().collect()}
+    spark = rows.sparkSession
+    known = spark.createDataFrame(
+        [
+            (int(c), int(g), max(1, int(slices[g])), -(-counted[g] // size))
+            for c, g in zip(cells.cell, group, strict=True)
+            if g in counted
+        ],
+        "cell long, group long, slices long, blocks long",
+    )
+
+    def each(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+
+    by_group = known.select("group", "slices", "blocks").distinct()
+    left = sent.join(by_group, "group").select(
+        *sent.columns, F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), each("slices").alias("slice")
     )
-    right = index.vectors.join(asked, "cell").select(
+    right = index.vectors.join(known, "cell").select(
         "cell",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-        "part",
+        "group",
+        F.pmod(F.xxhash64("vec_id"), F.col("slices")).alias("slice"),
+        each("blocks").alias("block"),
         "vec_id",
         "embedding",
     )
-    keys = ["cell", "block", "part"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, schema)
+    keys = ["group", "block", "slice"]
+    tasks = int(sum(max(1, slices[g]) * -(-m // size) for g, m in counted.items()))
+    return (
+        left.repartition(max(1, tasks), *keys)
+        .groupBy(*keys)
+        .cogroup(right.repartition(max(1, tasks), *keys).groupBy(*keys))
+        .applyInArrow(compare, schema)
+    )
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -232,23 +305,33 @@ def pivot_topk(
     )
     cells = Cells(index.cells.collect())
     if not len(cells.cell):
-        return _search(unit, unit.select("query_id", F.lit(0).cast("long").alias("cell")), index, k).select(
-            "query_id", "vec_id", "similarity", F.lit(0).alias("rank")
-        )
+        return unit.select(
+            "query_id",
+            F.lit(None).cast(index.vectors.schema["vec_id"].dataType).alias("vec_id"),
+            F.lit(None).cast("double").alias("similarity"),
+            F.lit(0).alias("rank"),
+        ).limit(0)
+
+    def nearest(q: np.ndarray, _: np.ndarray | None) -> np.ndarray:
+        return cells.first(cells.most(q), k)
 
-    near = materialize(_chosen(unit, lambda q, _: cells.first(cells.most(q), k), cells))
-    some = materialize(_best(_search(unit, near, index, k), k).drop("rank"))
-    # A query that found fewer than k has seen all there is.
-    worst = some.groupBy("query_id").agg(F.min("rounded").alias("s"))
     # Scores are rounded before they are compared: the last digit gives way.
     least = 10.0**-SCORE_DIGITS
 
-    def others(q: np.ndarray, s: np.ndarray) -> np.ndarray:
-        most = cells.most(q)
-        return (most >= s[:, None] - least) & ~cells.first(most, k)
+    def within(q: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return cells.most(q) >= s[:, None] - least
 
-    far = materialize(_chosen(unit.join(worst, "query_id"), others, cells))
+    some = _best(_search(unit, nearest, cells, index, k), k)
+    # A query that found fewer than k has no bound yet.
+    worst = some.groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) < k, F.lit(-np.inf)).otherwise(F.min("rounded")).alias("s")
+    )
+    bounded = materialize(
+        unit.join(worst, "query_id", "left").withColumn("s", F.coalesce("s", F.lit(-np.inf)))
+    )
     if compared is not None:
-        compared.near, compared.far = near.count(), far.count()
+        compared.near = _chosen(unit, nearest, cells).count()
+        compared.far = _chosen(bounded, lambda q, s: within(q, s) & ~nearest(q, None), cells).count()
         compared.all = unit.count() * len(cells.cell)
-    return _best(some.unionByName(_search(unit, far, index, k)), k).drop("rounded")
+    # The nearest cells are within the bound too, and are compared with the others.
+    return _best(_search(bounded, within, cells, index, k), k).drop("rounded")

@@ -204,3 +204,14 @@ def test_incremental_embedding(spark, tmp_path):
     assert E.update_vectors(changed, path, embed) == 2
     assert calls == [[1, 2], [2, 3]]
     assert E.latest_vectors(spark.read.parquet(path)).count() == 3
+
+
+def test_score_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Scores are dealt by their number, not by their compressed size."""
+    monkeypatch.setattr(H, "SCORES_A_TASK", 4)
+    rows = [(q, d, d, 0.5 + 0.1 * d) for q in range(5) for d in range(4)]
+    scores = spark.createDataFrame(rows, "query_id int, doc_id int, position int, relevance double")
+    asked = scores.select("query_id").distinct()
+    outcome = H.search_outcome(asked, scores.select("query_id", "doc_id", "position"), scores)
+    assert ", 5), REPARTITION_BY_NUM" in outcome._jdf.queryExecution().executedPlan().toString()
+    assert {(r.outcome, r.selected_code) for r in outcome.collect()} == {("auto_selected", 3)}

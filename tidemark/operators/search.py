@@ -20,6 +20,10 @@ SIMILARITY_FLOOR = 0.35
 AUTO_SELECT = 0.75
 RELEVANCE_FLOOR = 0.35
 
+#: Score rows that one task groups, on average.  They are short and compress well, so that partitions merged
+#: by their size in bytes would hold far too many of them.
+SCORES_A_TASK = 1 << 18
+
 
 def rrf_fuse(rankings: list[DataFrame], k: int) -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, doc_id, rank), best ``k`` per query.
@@ -199,8 +203,10 @@ def search_outcome(
     further condition every scored code must meet, such as a pattern.
     """
     scores = materialize(scores)
+    tasks = max(1, -(-scores.count() // SCORES_A_TASK))
+    by_code, scores = (scores.repartition(tasks, *keys) for keys in (["query_id", "doc_id"], ["query_id"]))
     bad = (
-        ungrounded_codes(scores, candidates)
+        ungrounded_codes(by_code, candidates)
         .select("query_id")
         .unionByName(invalid_scores(scores, code_rule, candidates))
         .distinct()

@@ -78,3 +78,15 @@ def test_queries_travel_once_to_a_group_of_cells(spark, monkeypatch):
     assert sent.count() == 40 * len(set(P._groups(cells, 100))) <= 40 * 4
     monkeypatch.setattr(P, "PART_ROWS", 7)
     assert rows_of(P.pivot_topk(asked, index, 9)) == rows_of(vector_topk(asked, stored, 9))
+
+
+def test_repeated_and_missing_query_ids(spark):
+    """As before groups: two rows with an id count twice each, a row without an id finds nothing."""
+    asked, stored = frames(spark, clustered(6, 3), clustered(7, 40))
+    twice = asked.filter("query_id < 2").unionByName(asked.filter("query_id = 1"))
+    lost = asked.filter("query_id = 2").selectExpr("CAST(NULL AS long) AS query_id", "embedding")
+    got = rows_of(P.pivot_topk(twice.unionByName(lost), P.build_pivot_index(stored, 5), 8))
+    best = {q: [r[2] for r in rows_of(vector_topk(asked, stored, 8)) if r[0] == q] for q in (0, 1)}
+    assert [r[2] for r in got if r[0] == 0] == best[0]
+    assert [r[2] for r in got if r[0] == 1] == [v for v in best[1][:2] for _ in range(4)]
+    assert {r[0] for r in got} == {0, 1}

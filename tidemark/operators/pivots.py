@@ -295,13 +295,20 @@ def pivot_topk(
     queries: DataFrame, index: PivotIndex, k: int, compared: Compared | None = None
 ) -> DataFrame:
     """Best ``k`` vectors per query by cosine similarity, ties by key, as ``similarity.vector_topk``."""
+    # A query without an id finds nothing; one of m rows with an id counts m times.
+    repeated = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     unit = materialize(
-        queries.select(
+        queries.filter("query_id IS NOT NULL")
+        .join(repeated, "query_id", "left")
+        .select(
             "query_id",
             l2_normalize(
                 F.coalesce("embedding", F.raise_error(F.lit("VectorSizeError: a query has no vector")))
             ).alias("embedding"),
+            F.coalesce("_n", F.lit(1).cast("long")).alias("_n"),
         )
+        .select("query_id", "embedding", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"))
+        .drop("_copy")
     )
     cells = Cells(index.cells.collect())
     if not len(cells.cell):

@@ -110,3 +110,15 @@ def test_documents_are_written(spark, inputs, tmp_path):
         "retrieved_at": one["provenance"]["retrieved_at"],
     }
     assert one["imports"]["rows"][0]["values_by_year"]["2020"] == 5.4
+
+
+def test_tables_are_the_same_from_many_tasks(spark, inputs, monkeypatch):
+    few = analyse(inputs)
+    parts = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(parts)
+    monkeypatch.setattr(A, "CELLS_A_TASK", 1)
+    spark.conf.set(parts, "2")
+    try:
+        assert analyse(inputs) == few
+    finally:
+        spark.conf.set(parts, before)

@@ -164,3 +164,36 @@ def test_rendered_empty_block(spark):
     tables = T.trade_table(cells, windows(spark, 2020, 2020), no_issues(spark))
     block = tables.select(T.render_block(F.lit("EXPORTS")).alias("b")).first().b
     assert "  (no partner-country data available)" in block.split("\n")
+
+
+def test_nested_tables_stay_where_they_are_made(spark):
+    """No part is dealt out by its window, only by its item; several windows and flows find their own parts."""
+    cells = T.partner_cells(
+        records(spark, [("1", "Ada", 2020, 5.0, False), ("2", "Bo", 2022, 7.0, True), ("0", "World", 2020, 9.0, False)]),
+        partners(spark),
+        "699",
+    )
+    asked = spark.createDataFrame(
+        [("010121", "import", 2019, 2020), ("010121", "import", 2021, 2022), ("010121", "export", 2019, 2020), ("020202", "import", 2019, 2019)],
+        "item_code string, flow string, year_start int, year_end int",
+    )
+    tables = T.trade_table(cells, asked, no_issues(spark, [("010121", "import", 2019, "timeout")]))
+    sizes = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(sizes)
+    spark.conf.set(sizes, "-1")
+    try:
+        plan = tables._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(sizes, before)
+    moves = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert moves and not any("year_start" in x for x in moves)
+    got = {(r.item_code, r.flow, r.year_start): r for r in tables.collect()}
+    assert len(got) == 4
+    first, second = got["010121", "import", 2019], got["010121", "import", 2021]
+    assert [(r.partner_code, r.cumulative) for r in first.rows] == [("1", 5.0), ("2", 0.0)]
+    assert [(r.partner_code, r.cumulative) for r in second.rows] == [("2", 7.0), ("1", 0.0)]
+    assert first.years_finalized == [2020] and first.fetch_issues == ["2019: timeout"] and first.years_no_data == []
+    assert second.years_finalized == [] and second.fetch_issues == [] and second.years_no_data == [2021]
+    export, other = got["010121", "export", 2019], got["020202", "import", 2019]
+    assert export.rows == [] and export.years_no_data == [2019, 2020] and export.excluded_partner_codes == []
+    assert first.excluded_partner_codes == ["0"] and other.rows == [] and other.years_no_data == [2019]

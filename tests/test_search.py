@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
 from tidemark.functions.numeric import dot, l2_normalize
 from tidemark.operators import embedding as E
 from tidemark.operators import lexical as B
@@ -62,6 +63,16 @@ def test_bm25_tasks_grow_with_the_joined_rows(spark, monkeypatch):
     assert scores.count() == 24
 
 
+def test_word_counting_tasks_grow_with_the_texts(spark, monkeypatch):
+    rows = [(i, "x y " * 10) for i in range(20)]
+    monkeypatch.setattr(X, "CHARS_A_TASK", 50)
+    postings = B.build_index(docs(spark, rows), queries(spark, [(1, "x z")])).postings
+    assert postings.rdd.getNumPartitions() == 16  # 800 characters
+    assert sorted(postings.select("doc_id", "dl", "term", "tf").collect()) == [(i, 20, "x", 10) for i, _ in rows]
+    vectors = E.hashed_embedding(docs(spark, rows).withColumnRenamed("doc_id", "id"))
+    assert vectors.rdd.getNumPartitions() == 16
+
+
 def test_empty_corpus(spark):
     stats = B.corpus_stats(docs(spark, [])).first()
     assert (stats.n_docs, stats.avgdl) == (0, 0.0)
@@ -87,6 +98,23 @@ def test_vector_topk_is_exact_for_any_block_size(spark):
             assert [r.vec_id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == want[i]
 
 
+def test_vector_cells_meet_when_partitions_are_not_merged(spark):
+    rng = np.random.default_rng(3)
+    stored = [(i, l.tolist()) for i, l in enumerate(rng.normal(size=(60, 4)))]
+    asked = vectors(spark, stored[:20]).withColumnRenamed("vec_id", "query_id")
+    want = {(r.query_id, r.vec_id) for r in V.vector_topk(asked, vectors(spark, stored), 5).collect()}
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "31"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        got = V.vector_topk(asked, vectors(spark, stored), 5, block_bytes=8 * 4 * 8).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(got) == 100 and {(r.query_id, r.vec_id) for r in got} == want
+
+
 def test_vector_topk_with_other_keys_and_without_vectors(spark):
     table = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0])], "vec_id string, embedding array<double>")
     asked = spark.createDataFrame([(3, [2.0, 0.0])], "query_id smallint, embedding array<double>")

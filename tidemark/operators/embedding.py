@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import l2_normalize
-from ..functions.text import explode_tokens
+from ..functions.text import dealt_texts, explode_tokens
 
 DIMS = 64
 BATCH = 100
@@ -28,11 +28,11 @@ def hashed_weights(texts: DataFrame, dims: int = DIMS) -> DataFrame:
 
     A text without tokens has one row with a null bucket.
 
-    The tokens of a text are counted where the text lies, so at most ``dims`` rows per text are
-    shuffled, however long the text is.
+    The tokens of a text are counted where the text is dealt to, so only the texts are shuffled, in tasks
+    that do not grow with the table.
     """
     return (
-        explode_tokens(texts, "text", "id", keep_empty=True)
+        explode_tokens(dealt_texts(texts.select("id", "text"), "id", "text"), "text", "id", keep_empty=True)
         .select("id", bucket(F.col("term"), dims).alias("bucket"))
         .groupBy("id", "bucket")
         .agg(F.count("bucket").alias("n"))

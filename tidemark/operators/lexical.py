@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import explode_tokens, tokens
+from ..functions.text import dealt_texts, explode_tokens, tokens
 from ..session import materialize
 
 # BM25 parameters.
@@ -38,7 +38,8 @@ class LexicalIndex:
 
 
 def _postings(documents: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
-    words = explode_tokens(documents, "text", "doc_id").withColumnRenamed("n_tokens", "dl")
+    dealt = dealt_texts(documents.select("doc_id", "text"), "doc_id", "text")
+    words = explode_tokens(dealt, "text", "doc_id").withColumnRenamed("n_tokens", "dl")
     if vocabulary is not None:
         words = words.join(vocabulary, "term", "left_semi")
     return words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -63,7 +64,8 @@ def build_index(documents: DataFrame, asked: DataFrame | None = None) -> Lexical
 
     Statistics do not change by that restriction: length, count and mean come from whole texts.
     """
-    vocabulary = None if asked is None else query_terms(asked).select("term").distinct()
+    # Written, so that its size is known: a small one is broadcast, and only words that are asked for are counted.
+    vocabulary = None if asked is None else materialize(query_terms(asked).select("term").distinct())
     postings = _postings(documents, vocabulary)
     return LexicalIndex(postings, _terms(postings), corpus_stats(documents))
 

@@ -122,9 +122,10 @@ def vector_topk(
     n_vector = max(1, -(-vectors.count() // rows_each))
 
     def dealt(rows: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int):
+        # Both numbers are long on both sides: int and long hash differently, and a cell's sides would not meet.
         return rows.select(
-            F.pmod(F.xxhash64(key), F.lit(n_own)).alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
+            F.pmod(F.xxhash64(key), F.lit(n_own).cast("long")).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))).alias(other),
             key,
             "embedding",
         ).groupBy("query_block", "vector_block")

@@ -1,6 +1,7 @@
 """Search by cells around pivots against comparing all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import pivots as P
@@ -90,3 +91,39 @@ def test_repeated_and_missing_query_ids(spark):
     assert [r[2] for r in got if r[0] == 0] == best[0]
     assert [r[2] for r in got if r[0] == 1] == [v for v in best[1][:2] for _ in range(4)]
     assert {r[0] for r in got} == {0, 1}
+
+
+POOL = pa.proxy_memory_pool(pa.default_memory_pool())
+
+
+def test_rows_held_by_a_task_do_not_grow_with_its_cells(monkeypatch):
+    """20,000 queries that want all 40 cells of a group find 8 million rows, of which few are held at a time."""
+    draw = np.random.default_rng(8)
+    queries, vectors = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (draw.normal(size=(n, 4)) for n in (20000, 2000)))
+
+    class Row(dict):
+        __getattr__ = dict.__getitem__
+
+    cells = P.Cells([Row(cell=c, pivot=vectors[c], n=50, low=0, high=4, short=1, long=1) for c in range(40)])
+    keys = {c: pa.array(np.zeros(20000, np.int64)) for c in ("group", "block", "slice")}
+    gone = pa.nulls(20000, pa.int64())
+    of_query = keys | {"asks": pa.array(np.ones(20000, bool)), "cell": gone, "vec_id": gone}
+    of_query |= {"vector": pa.nulls(20000, pa.list_(pa.float64())), "query_id": pa.array(np.arange(20000)), "embedding": pa.array(list(queries))}
+    of_vector = {c: a[:2000] for c, a in of_query.items()} | {"asks": pa.array(np.zeros(2000, bool)), "query_id": gone[:2000]}
+    of_vector |= {"cell": pa.array(np.arange(2000) % 40), "vec_id": pa.array(1000 + np.arange(2000)), "vector": pa.array(list(vectors))}
+    of_vector["embedding"] = pa.nulls(2000, pa.list_(pa.float64()))
+    stream = [pa.record_batch(of_vector), pa.record_batch(of_query)]
+    usual, got, rows = pa.default_memory_pool(), {}, 0
+    pa.set_memory_pool(POOL)
+    try:
+        for found in P._answers(iter(stream), list(keys), lambda q, _: np.ones((len(q), 40), bool), cells, 10):
+            rows += len(found)
+            for q, v in zip(found["query_id"].to_pylist(), found["vec_id"].to_pylist(), strict=True):
+                got.setdefault(q, []).append(v)
+        del found
+    finally:
+        pa.set_memory_pool(usual)
+    assert rows == 20000 * 10
+    for q in (0, 4095, 4096, 19999):
+        assert got[q] == (1000 + np.argsort(-(vectors @ queries[q]), kind="stable")[:10]).tolist()
+    assert POOL.max_memory() < 100 << 20

@@ -11,12 +11,13 @@ q to that range, which bounds its similarity.  So
 The result is that of comparing all pairs; how many pairs are compared depends on how well the vectors
 cluster.  Cells are dealt into parts of bounded size, so a cell with a third of all vectors is no larger a
 task than any other.  Cells travel in groups: a query is sent once to each group that has a cell for it, not
-once to each cell, and the task skips the group's other cells.
+once to each cell, and the task skips the group's other cells.  A task answers its queries part by part, and
+holds a bounded number of rows found, however many cells its group has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,10 @@ PART_ROWS = 4096
 #: work, between PART_ROWS and so many bytes.
 GROUP_SHARE = 12
 GROUP_BYTES = 64 << 20
+#: Rows that a task has found for a part of its queries before they are cut to the best of each query.
+FOUND_ROWS = 1 << 19
+#: Queries whose angles to all cells a task holds at a time.
+CHOSEN_ROWS = 1024
 #: Angles are compared with this much room for rounding; it is far above the error of a product.
 ROOM = 1e-6
 
@@ -101,6 +106,13 @@ def choose_pivots(vectors: DataFrame, n_pivots: int) -> np.ndarray:
     return np.array([r.embedding for r in rows], np.float64)
 
 
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of CHOSEN_ROWS rows at most."""
+    for batch in batches:
+        for first in range(0, len(batch), CHOSEN_ROWS):
+            yield batch.slice(first, CHOSEN_ROWS)
+
+
 def build_pivot_index(vectors: DataFrame, n_pivots: int | None = None) -> PivotIndex:
     """The index of vectors (vec_id, embedding), written to the shared folder."""
     vectors = materialize(vectors.select("vec_id", "embedding"))
@@ -110,7 +122,7 @@ def build_pivot_index(vectors: DataFrame, n_pivots: int | None = None) -> PivotI
     key_type = vectors.schema["vec_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             rows = _matrix(batch.column("embedding"))
             length = np.linalg.norm(rows, axis=1)
             sims = rows @ pivots.T / np.where(length > 0, length, 1)[:, None]
@@ -168,16 +180,22 @@ def read_pivot_index(spark: SparkSession, path: str) -> PivotIndex:
 Choose = Callable[[np.ndarray, "np.ndarray | None"], np.ndarray]
 
 
-def _least(batch: pa.RecordBatch | pa.Table) -> np.ndarray | None:
+def _least(batch: pa.RecordBatch) -> np.ndarray | None:
     return batch["s"].to_numpy() if "s" in batch.schema.names else None
 
 
+def _wanted(choose: Choose, rows: pa.RecordBatch) -> np.ndarray:
+    """For each row and cell whether it is chosen; angles to all cells are held for CHOSEN_ROWS rows at a time."""
+    parts = list(_parts([rows])) or [rows]
+    return np.concatenate([choose(_matrix(part["embedding"]), _least(part)) for part in parts])
+
+
 def _chosen(rows: DataFrame, choose: Choose, cells: Cells) -> DataFrame:
     """(query_id, cell) of the cells chosen for each of (query_id, embedding[, s])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q, c = np.nonzero(choose(_matrix(batch.column("embedding")), _least(batch)))
+            q, c = np.nonzero(_wanted(choose, batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("query_id").take(pa.array(q)), pa.array(cells.cell[c])], names=["query_id", "cell"]
             )
@@ -196,7 +214,7 @@ def _sent(rows: DataFrame, choose: Choose, group: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = choose(_matrix(batch.column("embedding")), _least(batch))
+            wanted = _wanted(choose, batch)
             for g in range(n_groups):
                 some = batch.take(pa.array(np.nonzero(wanted[:, group == g].any(axis=1))[0]))
                 yield pa.RecordBatch.from_arrays(
@@ -207,6 +225,70 @@ def _sent(rows: DataFrame, choose: Choose, group: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, f"group long, {fields}")
 
 
+def _merged(found: list[pa.Table], k: int) -> pa.Table:
+    """The best ``k`` of each query of (query_id, vec_id, similarity, rounded)."""
+    rows = pa.concat_tables(found)
+    order = [("query_id", "ascending"), ("rounded", "descending"), ("vec_id", "ascending")]
+    rows = rows.take(pc.sort_indices(rows, order))
+    row = rows["query_id"].to_numpy()
+    return rows.filter(pa.array(np.arange(len(row)) - np.searchsorted(row, row) < k))
+
+
+def _answers(
+    batches: Iterator[pa.RecordBatch], keys: list[str], choose: Choose, cells: Cells, k: int
+) -> Iterator[pa.RecordBatch]:
+    """Best ``k`` for each query of a stream that is sorted by ``keys``, vectors (cell, vec_id, vector) before
+    those that ask (query_id, embedding[, s])."""
+    key, held, of_cell = None, [], None
+    for batch in batches:
+        marks = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in (*keys, "asks")]).astype(np.int64)
+        ends = [*(np.nonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0))[0] + 1).tolist(), len(batch)]
+        for first, end in zip([0, *ends], ends, strict=False):
+            *own, asks = marks[:, first].tolist()
+            rows = batch.slice(first, end - first)
+            if own != key:
+                key, held, of_cell = own, [], None
+            if not asks:
+                held.append(rows.select(["cell", "vec_id", "vector"]))
+                continue
+            if of_cell is None:
+                of_cell, held = _by_cell(held, cells), []
+            yield from _answered(rows, of_cell, choose, k)
+
+
+def _by_cell(held: list[pa.RecordBatch], cells: Cells) -> dict[int, pa.Table]:
+    """Vectors (vec_id, embedding) of each cell, by its place among all cells."""
+    if not held:
+        return {}
+    stored = pa.Table.from_batches(held).rename_columns(["cell", "vec_id", "embedding"])
+    of_cell = stored["cell"].to_numpy()
+    places = np.searchsorted(cells.cell, np.unique(of_cell)).tolist()
+    return {at: stored.take(pa.array(np.nonzero(of_cell == cells.cell[at])[0])) for at in places}
+
+
+def _answered(
+    rows: pa.RecordBatch, of_cell: dict[int, pa.Table], choose: Choose, k: int
+) -> Iterator[pa.RecordBatch]:
+    """Best ``k`` of the cells for each query, by parts of the queries."""
+    step = max(1, min(PART_ROWS, FOUND_ROWS // k))
+    for first in range(0, len(rows) if of_cell else 0, step):
+        asked = rows.slice(first, step)
+        wanted = _wanted(choose, asked)
+        numbered = pa.table({"query_id": pa.array(np.arange(len(asked))), "embedding": asked["embedding"]})
+        found, held = [], 0
+        for at, stored in of_cell.items():
+            some = np.nonzero(wanted[:, at])[0]
+            if len(some):
+                found.append(_cell_topk(numbered.take(pa.array(some)), stored, k))
+                held += len(found[-1])
+            if held > FOUND_ROWS:
+                found = [_merged(found, k)]
+                held = len(found[0])
+        if found:
+            best = _merged(found, k)
+            yield from best.set_column(0, "query_id", asked["query_id"].take(best["query_id"].combine_chunks())).to_batches()
+
+
 def _search(rows: DataFrame, choose: Choose, cells: Cells, index: PivotIndex, k: int) -> DataFrame:
     """Best ``k`` of each group's chosen cells for (query_id, embedding[, s]): query_id, vec_id, similarity,
     rounded."""
@@ -214,36 +296,6 @@ def _search(rows: DataFrame, choose: Choose, cells: Cells, index: PivotIndex, k:
         f"query_id {rows.schema['query_id'].dataType.simpleString()}, "
         f"vec_id {index.vectors.schema['vec_id'].dataType.simpleString()}, similarity double, rounded double"
     )
-    no_score = pa.array([], pa.float64())
-
-    def compare(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        if not len(asked) or not len(stored):
-            none = pa.table({"query_id": asked["query_id"][:0], "vec_id": stored["vec_id"][:0]})
-            return none.append_column("similarity", no_score).append_column("rounded", no_score)
-        least = _least(asked)
-        wanted = np.concatenate(
-            [
-                choose(_matrix(asked["embedding"][i : i + PART_ROWS]), None if least is None else least[i : i + PART_ROWS])
-                for i in range(0, len(asked), PART_ROWS)
-            ]
-        )
-        numbered = pa.table({"query_id": pa.array(np.arange(len(asked))), "embedding": asked["embedding"]})
-        of_cell = stored["cell"].to_numpy()
-        found = []
-        for at in np.searchsorted(cells.cell, np.unique(of_cell)):
-            own = stored.take(pa.array(np.nonzero(of_cell == cells.cell[at])[0]))
-            some = numbered.take(pa.array(np.nonzero(wanted[:, at])[0]))
-            if len(some):
-                found.append(_cell_topk(some, own, k))
-        if not found:
-            return compare(asked[:0], stored)
-        merged = pa.concat_tables(found)
-        order = [("query_id", "ascending"), ("rounded", "descending"), ("vec_id", "ascending")]
-        merged = merged.take(pc.sort_indices(merged, order))
-        row = merged["query_id"].to_numpy()
-        best = merged.filter(pa.array(np.arange(len(row)) - np.searchsorted(row, row) < k))
-        return best.set_column(0, "query_id", asked["query_id"].take(best["query_id"]))
-
     # A slice of a group meets the group's queries in blocks; a vector is sent once for each block.
     n = max(int(cells.n.sum()), rows.count())
     size = max(PART_ROWS, min(-(-n // GROUP_SHARE), GROUP_BYTES // (8 * max(1, cells.pivot.shape[1]))))
@@ -278,11 +330,31 @@ def _search(rows: DataFrame, choose: Choose, cells: Cells, index: PivotIndex, k:
     )
     keys = ["group", "block", "slice"]
     tasks = int(sum(max(1, slices[g]) * -(-m // size) for g, m in counted.items()))
+    # One stream: a task holds the vectors of a slice, and the queries pass by in batches.
+    right = right.withColumnRenamed("embedding", "vector")
+    sides = {f.name: f.dataType for f in (*left.schema, *right.schema)}
+    both = [
+        some.select(
+            *keys,
+            F.lit(some is left).alias("asks"),
+            *(
+                (F.col(c) if c in some.columns else F.lit(None).cast(kind)).alias(c)
+                for c, kind in sides.items()
+                if c not in keys
+            ),
+        )
+        for some in (left, right)
+    ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _answers(batches, keys, choose, cells, k)
+
     return (
-        left.repartition(max(1, tasks), *keys)
-        .groupBy(*keys)
-        .cogroup(right.repartition(max(1, tasks), *keys).groupBy(*keys))
-        .applyInArrow(compare, schema)
+        both[0]
+        .union(both[1])
+        .repartition(max(1, tasks), *keys)
+        .sortWithinPartitions(*keys, "asks")
+        .mapInArrow(run, schema)
     )
 
 
